@@ -79,7 +79,7 @@ def fit_logistic(rows: DataFrame, columns: list[str], y: str = "y", w: str = "w"
     mean = np.array([first[f"m{i}"] for i in range(len(columns))])
     var = use.agg(*[wm((F.col(c) - float(m)) * (F.col(c) - float(m))).alias(f"v{i}") for i, (c, m) in enumerate(zip(columns, mean))]).first() if columns else []
     scale = np.sqrt(np.maximum(np.array(list(var), dtype=float), 0))
-    scale[scale == 0] = 1.0
+    scale[scale <= 1e-12 * (1 + np.abs(mean))] = 1.0  # constant, but for rounding of the mean
     d = len(columns) + 1
     theta = np.zeros(d)
     penalty = np.append(np.full(d - 1, 1 / C), 0.0)
