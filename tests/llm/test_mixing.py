@@ -52,6 +52,9 @@ def test_mixture(spark):
     assert small == pytest.approx(1 / 3, abs=0.01)
     table = {r.source: r for r in shares(mix(docs, targets.dropDuplicates(["source"]), buckets=16), targets.dropDuplicates(["source"])).collect()}
     assert table["absent"].tokens == 0 and table["small"].reached_share == pytest.approx(small)
+    full = {r.source: r for r in shares(mix(docs, targets.dropDuplicates(["source"]), buckets=16, total_tokens="all"), targets.dropDuplicates(["source"])).collect()}
+    have = {s: sum(sizes[i] for i, _, x in rows if x == s) for s in ("big", "small")}
+    assert full["small"].tokens == pytest.approx(min(4 * have["small"], sum(have.values()) / 3), abs=50) and full["small"].most_copies <= 4
     other = mix(docs, targets, buckets=16, seed=5).collect()
     assert {r.doc_id for r in other} != {r.doc_id for r in got}
 

@@ -68,13 +68,17 @@ def mix(
     text: str = "text",
     share: str = "target_share",
     repeats: str = "max_repeats",
-    total_tokens: float | None = None,
+    total_tokens: float | str | None = None,
     seed: int = 17,
     buckets: int = 4096,
     vocabulary: str = VOCABULARY,
 ) -> DataFrame:
     """The mixture: ``(doc_id, source, n_tokens, copies)``, one row per record that is in it.
 
+    ``total_tokens`` is the size to reach; ``"all"``: as many tokens as the listed sources hold
+    once, so that small sources are clamped and the others take their rest; None: the largest
+    size at which every target share is reached exactly.
+
     A source whose allotment (``water_fill``) is ``e`` times its tokens gives every record
     ``floor(e)`` times, and once more those that come first in a seeded random order, up to
     the tokens of the fraction. The record across the border is taken where that is the nearer
@@ -107,7 +111,8 @@ def mix(
     sized = written(sized.withColumn("_h", order).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)).cast("int")), "sizes")
     sums = sized.groupBy("_src", "_b").agg(F.sum("n_tokens").alias("_n"))
     tokens = {r[0]: int(r[1]) for r in sums.groupBy("_src").agg(F.sum("_n")).collect()}  # one row a listed source
-    plan = water_fill(weights, tokens, caps, total_tokens)
+    total = float(sum(tokens.values())) if total_tokens == "all" else total_tokens
+    plan = water_fill(weights, tokens, caps, total)
     small = [(a.source, int(a.epochs + 1e-9), max(0.0, a.allotted - int(a.epochs + 1e-9) * a.tokens)) for a in plan if a.allotted > 0]
     lots = spark.createDataFrame(small, "_src string, _whole int, _extra double")
 

@@ -56,6 +56,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(p8_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
+def p8_budget(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture as large as the corpus: clamped sources fall short of their target, and the report says by how much."""
+    return shares(mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), total_tokens="all"), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_residue(table(spark, d, "documents")).select("doc_id")
 
@@ -65,7 +70,7 @@ def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p4_nearest, p7_packed, p7_fill, p8_mixture, p8_shares, p9_found, p9_kinds)
+    f.__name__: f for f in (p4_found, p4_nearest, p7_packed, p7_fill, p8_mixture, p8_shares, p8_budget, p9_found, p9_kinds)
 }
 
 _NEAREST = """
