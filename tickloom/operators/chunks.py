@@ -44,3 +44,49 @@ def stamp_chunks(
         .withColumn("_own", floor_div(F.col("_rank"), big(chunk)) == F.col("_chunk"))
         .drop("_tb", "_rn", "_off")
     )
+
+
+def _bucketed(rows: DataFrame, keys: Sequence[str], by: str, width: int) -> DataFrame:
+    if "_tb" in rows.columns:
+        return rows
+    return rows.withColumn("_tb", floor_div(F.col(by), big(width))).repartition(*keys, "_tb")
+
+
+def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str], take: Sequence[str], width: int, ahead: bool = False, keep: bool = False) -> DataFrame:
+    """Adds ``prev_<c>`` (``next_<c>`` with ``ahead``): values of the row before in order of its key.
+
+    ``order[0]`` is an integer that is cut into buckets of ``width``; a row looks into its own
+    bucket, and the first one of a bucket at the nearest bucket before that has rows, of which
+    there is one summary row. So a lag never needs a task that holds a whole key.
+    """
+    keys, order = list(keys), list(order)
+    x = _bucketed(rows, keys, order[0], width)
+    up = [F.desc(c) if ahead else F.asc(c) for c in order]
+    value = F.struct(*[F.col(c).alias(c) for c in take])
+    inner = F.lag(value).over(W.partitionBy(*keys, "_tb").orderBy(*up))
+    edge = (F.min_by if ahead else F.max_by)(value, F.struct(*order))
+    edges = x.groupBy(*keys, "_tb").agg(edge.alias("_e"))
+    w = W.partitionBy(*keys).orderBy(F.desc("_tb") if ahead else F.asc("_tb"))
+    edges = edges.select(*keys, "_tb", F.lag("_e").over(w).alias("_c"))
+    name = "next" if ahead else "prev"
+    out = x.withColumn("_v", inner).join(edges, [*keys, "_tb"]).withColumn("_v", F.coalesce("_v", "_c"))
+    out = out.select(*x.columns, *[F.col(f"_v.{c}").alias(f"{name}_{c}") for c in take])
+    return out if keep else out.drop("_tb")
+
+
+def with_running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value, out: str, width: int, how: str = "sum", keep: bool = False) -> DataFrame:
+    """Adds the running ``sum``, ``max`` or ``min`` of a column up to and with each row, by the same two levels."""
+    keys, order = list(keys), list(order)
+    f = {"sum": F.sum, "max": F.max, "min": F.min}[how]
+    x = _bucketed(rows, keys, order[0], width).withColumn("_v", value)
+    w = W.partitionBy(*keys, "_tb").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    tops = x.groupBy(*keys, "_tb").agg(f("_v").alias("_t"))
+    before = W.partitionBy(*keys).orderBy("_tb").rowsBetween(W.unboundedPreceding, -1)
+    tops = tops.select(*keys, "_tb", f("_t").over(before).alias("_b"))
+    j = x.withColumn("_i", f("_v").over(w)).join(tops, [*keys, "_tb"])
+    if how == "sum":
+        total = F.when(F.col("_i").isNull() & F.col("_b").isNull(), None).otherwise(F.coalesce("_i", F.lit(0)) + F.coalesce("_b", F.lit(0)))
+    else:
+        total = (F.greatest if how == "max" else F.least)("_i", "_b")
+    res = j.withColumn(out, total).drop("_v", "_i", "_b")
+    return res if keep else res.drop("_tb")

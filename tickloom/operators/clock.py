@@ -1,4 +1,8 @@
-"""The trading calendar: open coordinate, elapsed time, deadlines, gaps and censoring."""
+"""The trading calendar: open coordinate, elapsed time, deadlines, gaps and censoring.
+
+Windows over a feed's clean bars are as long as its calendar at most (one bar a step), however
+many candles were delivered; ticks, which have no such bound, are bucketed (see ``ticks``).
+"""
 
 from __future__ import annotations
 
@@ -77,10 +81,9 @@ def gap_breaks(bars: DataFrame, coords: DataFrame, threshold: int = 15) -> DataF
 
 
 def segments(broken: DataFrame) -> DataFrame:
-    """Adds ``seg``, the number of breaks of the feed so far, and ``pos``, the bar's place in its segment."""
-    w = W.partitionBy("feed_id").orderBy("b")
-    s = broken.withColumn("seg", F.sum(F.col("broke").cast("bigint")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return s.withColumn("pos", F.row_number().over(W.partitionBy("feed_id", "seg").orderBy("b")))
+    """Adds ``seg``, the number of breaks of the feed so far."""
+    w = W.partitionBy("feed_id").orderBy("b").rowsBetween(W.unboundedPreceding, 0)
+    return broken.withColumn("seg", F.sum(F.col("broke").cast("bigint")).over(w))
 
 
 def censor_times(broken: DataFrame, coords: DataFrame, threshold: int = 15) -> DataFrame:

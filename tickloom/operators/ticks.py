@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions.time import big, floor_div
+from tickloom.operators.chunks import with_previous, with_running
 
-DAY_MS = 86_400_000
+#: Sequence numbers in a bucket of the two-level operators.
+SEQ_WIDTH = 65_536
 
 
 def highwater(ticks: DataFrame, feed: str = "feed_id", seq: str = "seq", time: str = "source_time", tie: tuple[str, ...] = ("quote_id",), width: int = 4096) -> DataFrame:
@@ -33,17 +35,16 @@ def tick_audit(ticks: DataFrame) -> DataFrame:
 
     Times are admitted before prices are looked at; rows without a time are counted apart.
     """
-    h = highwater(ticks)
-    w = W.partitionBy("feed_id").orderBy("seq", "quote_id")
-    same = lambda c: F.lag(c).over(w).eqNullSafe(F.col(c))
-    first = F.lag("quote_id").over(w).isNull()
+    h = with_previous(highwater(ticks), ["feed_id"], ["seq", "quote_id"], ["quote_id", "source_time", "bid", "ask", "available_ms"], SEQ_WIDTH)
+    same = lambda c: F.col(f"prev_{c}").eqNullSafe(F.col(c))
+    first = F.col("prev_quote_id").isNull()
     bad = F.col("source_time").isNotNull() & (F.col("bid").isNull() | F.col("ask").isNull() | (F.col("bid") <= 0) | (F.col("ask") < F.col("bid")))
     r = h.withColumns(
         {
-            "tie": ~first & (F.lag("source_time").over(w) == F.col("source_time")),
+            "tie": ~first & (F.col("prev_source_time") == F.col("source_time")),
             "again": ~first & same("source_time") & same("bid") & same("ask"),
             "bad": F.coalesce(bad, F.lit(False)),
-            "wait": F.col("available_ms") - F.lag("available_ms").over(w),
+            "wait": F.col("available_ms") - F.col("prev_available_ms"),
         }
     )
     good = F.col("source_time").isNotNull() & ~F.col("late") & ~F.col("bad")
@@ -68,11 +69,12 @@ def day_counts(ticks: DataFrame) -> DataFrame:
 
 def tie_groups(ticks: DataFrame) -> DataFrame:
     """Runs of rows with one time in order of arrival; invalid rows stand alone; ``ambiguous`` where prices differ."""
-    w = W.partitionBy("feed_id").orderBy("seq", "quote_id")
     ok = F.coalesce(F.col("is_valid"), F.lit(False)) & F.col("source_time").isNotNull()
-    t = ticks.withColumn("_ok", ok)
-    joins = F.col("_ok") & F.lag("_ok").over(w) & (F.lag("source_time").over(w) == F.col("source_time"))
-    t = t.withColumn("_new", F.when(joins, 0).otherwise(1)).withColumn("_g", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    order = ["seq", "quote_id"]
+    t = ticks.select("feed_id", "seq", "quote_id", "source_time", "bid", "ask", ok.alias("_ok"))
+    t = with_previous(t, ["feed_id"], order, ["_ok", "source_time"], SEQ_WIDTH, keep=True)
+    joins = F.coalesce(F.col("_ok") & F.col("prev__ok") & (F.col("prev_source_time") == F.col("source_time")), F.lit(False))
+    t = with_running(t, ["feed_id"], order, F.when(joins, 0).otherwise(1), "_g", SEQ_WIDTH)
     pair = F.struct("bid", "ask")
     return (
         t.groupBy("feed_id", "_g")
@@ -103,9 +105,9 @@ def tick_bars(ticks: DataFrame, width_ms: int = 60_000) -> DataFrame:
 
 def silences(ticks: DataFrame, limit_ms: int = 60_000) -> DataFrame:
     """Times at which a feed has been silent for ``limit_ms``: ``(feed_id, last_ms, silent_at_ms, back_ms)``."""
-    h = highwater(ticks).where("available_ms is not null")
-    w = W.partitionBy("feed_id").orderBy("seq", "quote_id")
-    nxt = h.select("feed_id", F.col("available_ms").alias("last_ms"), F.lead("available_ms").over(w).alias("back_ms"))
+    h = highwater(ticks).where("available_ms is not null").select("feed_id", "seq", "quote_id", "available_ms")
+    nxt = with_previous(h, ["feed_id"], ["seq", "quote_id"], ["available_ms"], SEQ_WIDTH, ahead=True)
+    nxt = nxt.select("feed_id", F.col("available_ms").alias("last_ms"), F.col("next_available_ms").alias("back_ms"))
     return nxt.where(F.col("back_ms") - F.col("last_ms") > limit_ms).withColumn("silent_at_ms", F.col("last_ms") + limit_ms)
 
 

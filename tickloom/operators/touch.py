@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions.time import floor_div
@@ -85,7 +84,7 @@ def label_arrays(b, o, h, lo, c, step, entry, side, target, stop, deadline, cens
     return outcome, end, info, price, status, np.where(found, at, NEVER)
 
 
-def _label(t: pa.Table, until_tie: bool) -> pa.Table:
+def _label(t: pa.Table, until_tie: bool, gapless: bool) -> pa.Table:
     order = np.argsort(t.column("b").to_numpy(), kind="stable")
     get = lambda c: t.column(c).to_numpy()[order]
     b, own = get("b"), get("_own").astype(bool)
@@ -94,6 +93,11 @@ def _label(t: pa.Table, until_tie: bool) -> pa.Table:
     step = int(t.column("step")[0].as_py())
     tp, sl, dl, ce, feed = (get(x)[entry] for x in ("tp_i", "sl_i", "deadline_s", "censor_s", "feed_id"))
     eof = get("eof").astype(bool)[entry]
+    if gapless:
+        # The chunk holds every bar before the deadline, so the first break is known here: no feed-wide pass.
+        ends = np.append(b[1:] != b[:-1] + step, True)
+        stop_at = np.where(ends, b + step, NEVER)
+        ce = np.minimum.accumulate(stop_at[::-1])[::-1][entry]
     parts = []
     for side in (1, -1):
         s = np.full(len(entry), side)
@@ -124,12 +128,13 @@ def first_touch(
     eligible: Column | None = None,
     eof: Column | None = None,
     until_tie: bool = True,
+    gapless: bool = False,
     chunk_steps: int = 8192,
 ) -> DataFrame:
     """Both sides of each bar taken as an entry at its open; prices as integers of 1e-8.
 
     ``tp`` and ``sl`` are price distances fixed at entry (DECIMAL), ``deadline`` and ``censor``
-    instants in epoch seconds. Touches are inclusive, prices exact: never doubles. Output: ``LABELS``.
+    instants in epoch seconds (with ``gapless`` the end of the entry's gapless run censors). Touches are inclusive, prices exact: never doubles. Output: ``LABELS``.
 
     Distribution: entries by (feed, chunk of time), each chunk with the bars ahead that its
     entries can reach (``horizon_s``, wall time); groups are bounded whatever the feed's length.
@@ -148,18 +153,13 @@ def first_touch(
     rows = rows.withColumns({"tp_i": F.coalesce("tp_i", F.lit(0)), "sl_i": F.coalesce("sl_i", F.lit(0))})
     rows = rows.withColumn("_c", F.explode(F.sequence(floor_div(F.col("b") - horizon_s, span), own_chunk))).withColumn("_own", F.col("_c") == own_chunk)
     slim = rows.select("feed_id", "_c", "b", "step", "o_i", "h_i", "l_i", "c_i", "tp_i", "sl_i", "deadline_s", "censor_s", "eligible", "eof", "_own")
-    return slim.groupBy("feed_id", "_c").applyInArrow(lambda t: _label(t, until_tie), LABELS)
+    return slim.groupBy("feed_id", "_c").applyInArrow(lambda t: _label(t, until_tie, gapless), LABELS)
 
 
 def contiguous_labels(bars: DataFrame, *, tp: Column, sl: Column, horizon_bars: int = 240) -> DataFrame:
     """Labels on gapless runs: a missing bar censors; the deadline is ``horizon_bars`` bars after the entry."""
-    w = W.partitionBy("feed_id").orderBy("b")
-    nxt = F.lead("b").over(w)
-    run_end = F.when(nxt.isNull() | (nxt != F.col("b") + F.col("step")), F.col("b") + F.col("step"))
-    ahead = W.partitionBy("feed_id").orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, 0)
-    rows = bars.withColumn("_stop", run_end).withColumn("_run", F.min("_stop").over(ahead))
     hold = F.col("step") * horizon_bars
-    return first_touch(rows, tp=tp, sl=sl, horizon_s=hold, deadline=F.col("b") + hold, censor=F.col("_run"))
+    return first_touch(bars, tp=tp, sl=sl, horizon_s=hold, deadline=F.col("b") + hold, censor=F.col("b"), gapless=True)
 
 
 def session_labels(bars: DataFrame, *, tp: Column, sl: Column, longest_s: int, eligible: Column | None = None) -> DataFrame:

@@ -110,7 +110,7 @@ for n in (5, 15, 60, 240):
         f"sum(rr) OVER w{n} AS ret_{n}",
         f"sqrt(greatest(sum(rr * rr) OVER w{n} / {n} - (sum(rr) OVER w{n} / {n}) * (sum(rr) OVER w{n} / {n}), 0.0)) AS vol_{n}",
         f"CAST(sum(hl) OVER w{n} AS DOUBLE) / {n} / 0.0001 AS range_{n}",
-        f"(pc - sum(c) OVER w{n} / {n}) / greatest(sqrt(greatest(sum(c * c) OVER w{n} / {n} - (sum(c) OVER w{n} / {n}) * (sum(c) OVER w{n} / {n}), 0.0)), 1e-5) AS z_{n}",
+        f"CASE WHEN count(*) OVER w{n} = {n} THEN (pc - avg(c) OVER w{n}) / greatest(stddev_pop(c) OVER w{n}, 1e-5) END AS z_{n}",
         f"abs(sum(rr) OVER w{n}) / greatest(sum(abs(rr)) OVER w{n}, 1e-12) AS eff_{n}",
     ]
 FEATURES = f"""
