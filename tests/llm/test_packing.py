@@ -69,6 +69,19 @@ def test_empty(spark):
     assert pack(one, kinds.limit(0)).count() == 0
 
 
+def test_very_long_runs_are_counted():
+    import regex
+
+    from tickloom.llm.tokens import PATTERN
+
+    enc = encoder()
+    pieces = lambda s: sum(len(enc._encode_single_piece(m.group(0))) for m in regex.finditer(PATTERN, s))
+    for s in ("def f(x):\n\treturn x  # ü\n\n\n  y" * 50, "a" * 3000 + "\n" * 2000 + "  b", "x=1;\r\n" * 300):
+        assert count_tokens([s]) == [pieces(s)] == [len(enc.encode_ordinary(s))]
+    one, two = count_tokens([" " * 500_000 + "word", "\n" * 400_000])
+    assert 0 < one < 500_000 and 0 < two < 400_000
+
+
 def test_tokens_round_trip():
     enc = encoder()
     for s in ("def f(x):\n\treturn x  # ü <|endoftext|>", "  \n\n x", "漢字 and 'll"):
