@@ -99,6 +99,19 @@ def test_logistic_equals_a_dense_newton_fit(spark):
     assert got.p == pytest.approx(1 / (1 + math.exp(-(z @ th[:3] + th[3]))), rel=1e-7)
 
 
+def test_walk_forward_trains_on_the_past_only(spark):
+    X, y, w = fixture(1200)
+    rows = [(i * 100, i * 100 + 50, *map(float, x), int(t), float(v)) for i, (x, t, v) in enumerate(zip(X, y, w))]
+    schema = "s long, e long, a double, b double, c double, y int, w double"
+    folds = [(1, 60_000, 90_000), (2, 100, 5_000)]
+    f = lambda r: {x.fold: x for x in M.walk_forward(spark.createDataFrame(r, schema), folds, ["a", "b"], start="s", info_end="e", buffer_s=1000).collect()}
+    a = f(rows)
+    assert a[1].log_loss < a[1].prior_log_loss and a[1].test_rows == 300 and a[1].train_rows == 590
+    assert a[2].reason == "empty" and a[2].log_loss is None
+    later = [r if r[0] < 60_000 else (*r[:2], r[2] * 9, *r[3:5], 1 - r[5], r[6]) for r in rows]
+    assert f(later)[1].train_rows == a[1].train_rows and f(later)[1].log_loss != a[1].log_loss
+
+
 def test_network_learns_and_its_expression_is_the_network(spark):
     X, y, w = fixture(1500)
     net = M.AdamNet(8, 3, lr=0.01).fit(X, y, w, 400)

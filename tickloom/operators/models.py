@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.operators.folds import purged
 from tickloom.operators.stats import clipped_loss, logistic
+from tickloom.session import written
 
 
 def weighted_prior(rows: DataFrame, by: list[str], y: str, w: str) -> DataFrame:
@@ -72,6 +74,7 @@ def fit_logistic(rows: DataFrame, columns: list[str], y: str = "y", w: str = "w"
     """
     columns = list(columns)
     use = rows.select(*[F.col(c).cast("double").alias(c) for c in columns], F.col(y).cast("double").alias(y), F.col(w).cast("double").alias(w)).dropna().where(f"{w} > 0")
+    use = written(use, "fit")  # every round reads it: columnar once, instead of its lineage each time
     wm = lambda e: F.sum(F.col(w) * e) / F.sum(w)
     first = use.agg(F.count("*").alias("n"), F.sum(w).alias("W"), *[wm(F.col(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     if not first.n:
@@ -98,6 +101,34 @@ def fit_logistic(rows: DataFrame, columns: list[str], y: str = "y", w: str = "w"
     return LogisticState(tuple(columns), tuple(mean), tuple(scale), tuple(theta[:-1]), float(theta[-1]), {"rows": first.n, "weight": first.W, "rounds": done})
 
 
+def walk_forward(rows: DataFrame, folds: list[tuple[int, int, int]], columns: list[str], *, start: str, info_end: str, y: str = "y", w: str = "w", buffer_s: int = 14_460) -> DataFrame:
+    """Scores of each fold's test rows by a model fitted on the rows purged before it, beside the weighted prior.
+
+    ``folds`` are ``(fold, boundary, stop)`` in epoch seconds. A fold whose training rows lack a
+    class is reported with the reason and null scores: unknown is not zero.
+    """
+    rows = written(rows.select(start, info_end, y, w, *columns), "folds")  # each fold reads it several times
+    out = None
+    for fold, boundary, stop in folds:
+        side = purged(F.col(start), F.col(info_end), F.lit(boundary), F.lit(stop), buffer_s)
+        part = rows.withColumn("_role", side)
+        train, test = part.where("_role = 'train'"), part.where("_role = 'test'")
+        have = train.agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n"), (F.sum(F.col(w) * F.col(y)) / F.sum(w)).alias("prior")).first()
+        if min(have.p, have.n):
+            p, reason = fit_logistic(train, columns, y, w).probability(), None
+        else:
+            p, reason = F.lit(None).cast("double"), "no_positives" if have.n else "no_negatives" if have.p else "empty"
+        yc = F.col(y).cast("double")
+        x = test.select(yc.alias("_y"), p.alias("_p"))
+        one = x.agg(
+            F.lit(fold).alias("fold"), F.lit(have.p + have.n).cast("bigint").alias("train_rows"), F.count("*").alias("test_rows"),
+            F.avg(clipped_loss(F.col("_y"), F.col("_p"))).alias("log_loss"), F.avg((F.col("_p") - F.col("_y")) * (F.col("_p") - F.col("_y"))).alias("brier"),
+            F.avg(clipped_loss(F.col("_y"), F.lit(have.prior))).alias("prior_log_loss"), F.lit(reason).cast("string").alias("reason"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 class AdamNet:
     """One hidden layer, logistic output, Adam on mini-batches, an exact number of updates."""
 

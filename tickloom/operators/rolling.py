@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.functions.time import DAY_S, US, big, ceil_seconds, col, floor_div, micros
+from tickloom.functions.time import DAY_S, US, big, col, floor_div, micros
 
 
 def daily_totals(readings: DataFrame, *, entity: str, ts: str, value: str) -> DataFrame:

@@ -33,7 +33,8 @@ def banded(rows: DataFrame, cuts: DataFrame, by: list[str], value: str) -> DataF
 
 
 def clipped_loss(y: Column, p: Column) -> Column:
-    c = F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS))
+    """Log loss of a probability clipped to the float's resolution; null where either is unknown."""
+    c = F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS)))  # least and greatest skip nulls
     return -(y * F.ln(c) + (1 - y) * F.log1p(-c))
 
 
