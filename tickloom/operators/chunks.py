@@ -74,19 +74,27 @@ def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ta
     return out if keep else out.drop("_tb")
 
 
-def with_running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value, out: str, width: int, how: str = "sum", keep: bool = False) -> DataFrame:
-    """Adds the running ``sum``, ``max`` or ``min`` of a column up to and with each row, by the same two levels."""
+def with_running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value, out, width: int, how: str = "sum", keep: bool = False) -> DataFrame:
+    """Adds the running ``sum``, ``max`` or ``min`` of a column up to and with each row, by the same two levels.
+
+    Several columns at once: ``value`` and ``out`` as lists of equal length.
+    """
     keys, order = list(keys), list(order)
+    values, outs = (value, out) if isinstance(out, list) else ([value], [out])
+    ids = range(len(outs))
     f = {"sum": F.sum, "max": F.max, "min": F.min}[how]
-    x = _bucketed(rows, keys, order[0], width).withColumn("_v", value)
+    x = _bucketed(rows, keys, order[0], width).withColumns({f"_v{i}": v for i, v in enumerate(values)})
     w = W.partitionBy(*keys, "_tb").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    tops = x.groupBy(*keys, "_tb").agg(f("_v").alias("_t"))
+    tops = x.groupBy(*keys, "_tb").agg(*[f(f"_v{i}").alias(f"_t{i}") for i in ids])
     before = W.partitionBy(*keys).orderBy("_tb").rowsBetween(W.unboundedPreceding, -1)
-    tops = tops.select(*keys, "_tb", f("_t").over(before).alias("_b"))
-    j = x.withColumn("_i", f("_v").over(w)).join(tops, [*keys, "_tb"])
-    if how == "sum":
-        total = F.when(F.col("_i").isNull() & F.col("_b").isNull(), None).otherwise(F.coalesce("_i", F.lit(0)) + F.coalesce("_b", F.lit(0)))
-    else:
-        total = (F.greatest if how == "max" else F.least)("_i", "_b")
-    res = j.withColumn(out, total).drop("_v", "_i", "_b")
+    tops = tops.select(*keys, "_tb", *[f(f"_t{i}").over(before).alias(f"_b{i}") for i in ids])
+    j = x.withColumns({f"_i{i}": f(f"_v{i}").over(w) for i in ids}).join(tops, [*keys, "_tb"])
+
+    def total(i: int):
+        a, b = F.col(f"_i{i}"), F.col(f"_b{i}")
+        if how == "sum":
+            return F.when(a.isNull() & b.isNull(), None).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+        return (F.greatest if how == "max" else F.least)(a, b)
+
+    res = j.withColumns({o: total(i) for i, o in enumerate(outs)}).drop(*[f"_{k}{i}" for i in ids for k in "vib"])
     return res if keep else res.drop("_tb")

@@ -8,28 +8,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.functions.time import big, floor_div
+from tickloom.functions.time import DAY_S, big, floor_div
+from tickloom.operators.periods import merged_periods
+from tickloom.session import written
 
 
-def sweep(intervals: DataFrame, group: str, start: str, end: str) -> DataFrame:
+def sweep(intervals: DataFrame, group: str, start: str, end: str, width: int = 7 * DAY_S) -> DataFrame:
     """Elementary spans of each group with how many intervals cover them: ``(group, a, z, n, area0)``.
 
     ``area0`` is the integral of 1/n over everything before the span. Deltas collapse by instant
-    before they are shuffled.
+    before they are shuffled. Sums run within buckets of ``width`` and over one summary row a
+    bucket, so a group with a third of all intervals is spread over its buckets.
     """
     plus = intervals.select(group, F.col(start).alias("a"), F.lit(1).alias("d"))
     minus = intervals.select(group, F.col(end).alias("a"), F.lit(-1).alias("d"))
     ev = plus.unionByName(minus).groupBy(group, "a").agg(F.sum("d").alias("d"))
-    w = W.partitionBy(group).orderBy("a")
-    ev = ev.withColumn("n", F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("z", F.lead("a").over(w))
+    ev = ev.withColumn("_tb", floor_div(F.col("a"), big(width))).repartition(group, "_tb")
+    far = W.partitionBy(group).orderBy("_tb")
+    before = far.rowsBetween(W.unboundedPreceding, -1)
+    part = ev.groupBy(group, "_tb").agg(F.sum("d").alias("_d"), F.min("a").alias("_f"))
+    part = part.select(group, "_tb", F.coalesce(F.sum("_d").over(before), big(0)).alias("_n0"), F.lead("_f").over(far).alias("_nx"))
+    w = W.partitionBy(group, "_tb").orderBy("a")
+    x = ev.join(part, [group, "_tb"])
+    x = x.withColumn("n", F.col("_n0") + F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("z", F.coalesce(F.lead("a").over(w), F.col("_nx")))
     piece = F.coalesce((F.col("z") - F.col("a")) / F.greatest(F.col("n"), F.lit(1)), F.lit(0.0))
-    return ev.withColumn("area0", F.coalesce(F.sum(piece).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).drop("d")
+    x = x.withColumn("_piece", piece).withColumn("_in", F.coalesce(F.sum("_piece").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+    x = written(x.select(group, "_tb", "a", "z", "n", "_piece", "_in"), "sweep")  # read for the buckets' sums and for the rows
+    total = x.groupBy(group, "_tb").agg(F.sum("_piece").alias("_p"))
+    total = total.select(group, "_tb", F.coalesce(F.sum("_p").over(before), F.lit(0.0)).alias("_a0"))
+    return x.join(total, [group, "_tb"]).select(group, "a", "z", "n", (F.col("_a0") + F.col("_in")).alias("area0"))
 
 
-def uniqueness(intervals: DataFrame, key: str, group: str, start: str, end: str) -> DataFrame:
+def uniqueness(intervals: DataFrame, key: str, group: str, start: str, end: str, width: int = 7 * DAY_S) -> DataFrame:
     """``(key, group, raw, weight)``: the mean of 1/concurrency over each interval, and the same with mean one per group."""
     iv = intervals.where(F.col(end) > F.col(start))
-    area = sweep(iv, group, start, end).select(group, "a", "area0")
+    area = sweep(iv, group, start, end, width).select(group, "a", "area0")
     at = lambda t, name: area.select(group, F.col("a").alias(t), F.col("area0").alias(name))
     j = iv.select(key, group, start, end).join(at(start, "_f"), [group, start]).join(at(end, "_t"), [group, end])
     raw = j.select(key, group, ((F.col("_t") - F.col("_f")) / (F.col(end) - F.col(start))).alias("raw"))
@@ -143,11 +156,13 @@ def _schedule(t: pa.Table) -> pa.Table:
 
 
 def independent_blocks(intervals: DataFrame, group: str, start: str, end: str) -> DataFrame:
-    """Adds ``block``: intervals of one block overlap in a chain, those of different blocks never do."""
-    w = W.partitionBy(group).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col(start) >= reach), 1).otherwise(0)
-    return intervals.withColumn("_n", new).withColumn("block", F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_n")
+    """Adds ``block``: intervals of one block overlap in a chain, those of different blocks never do.
+
+    Blocks are the merged periods (those that only touch kept apart), found by the reduction
+    tree; an interval belongs to the last one that begins at or before it.
+    """
+    blocks = merged_periods(intervals, entity=group, start=start, end=end, touching=False).where("kind = 'period'")
+    return asof_backward(intervals, blocks.select(group, F.col("from_s").alias("block")), group, start, "block", ["block"], 32 * DAY_S)
 
 
 def weighted_schedule(intervals: DataFrame, key: str, group: str, start: str, end: str, value: str) -> DataFrame:

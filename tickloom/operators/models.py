@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -175,13 +176,17 @@ class AdamNet:
 def fit_networks(rows: DataFrame, population: str, columns: list[str], y: str, w: str, *, seeds: list[int], updates: int, hidden: int = 16, sample_rows: int = 200_000) -> DataFrame:
     """One network per (population, seed), each in its own task: ``(population, seed, n, loss, state)``.
 
-    A network is fitted to at most ``sample_rows`` labelled rows of its population, those first in
-    hashed order: a documented bound of the training set, so that a task's memory is bounded.
+    A network is fitted to about ``sample_rows`` labelled rows of its population at most, whole
+    buckets of 4,096 in hashed order: a documented bound of the training set, so that a task's
+    memory is bounded and no population is ordered in one task.
     ``state`` is JSON for ``network_probability``.
     """
     use = rows.select(F.col(population).cast("string").alias("population"), *[F.col(c).cast("double").alias(c) for c in columns], F.col(y).cast("double").alias("_y"), F.col(w).cast("double").alias("_w")).dropna().where("_w > 0 and _y in (0, 1)")
-    rank = F.row_number().over(W.partitionBy("population").orderBy(F.xxhash64(*columns, "_y")))
-    use = use.withColumn("_k", rank).where(f"_k <= {sample_rows}").drop("_k").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    use = use.withColumn("_h", F.pmod(F.xxhash64(*columns, "_y"), F.lit(4096)))
+    sizes = use.groupBy("population", "_h").agg(F.count("*").alias("_c"))
+    run_c = F.sum("_c").over(W.partitionBy("population").orderBy("_h").rowsBetween(W.unboundedPreceding, 0))
+    sizes = sizes.withColumn("_r", run_c).where(f"_r <= {sample_rows} or _r = _c").select("population", "_h")
+    use = use.join(sizes, ["population", "_h"]).drop("_h").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
 
     def run(t: pa.Table) -> pa.Table:
         X = np.column_stack([t.column(c).to_numpy() for c in columns])
@@ -274,13 +279,15 @@ def block_importance(rows: DataFrame, order: str, families: dict[str, list[str]]
     """Rise of the log loss when a family's columns come from another block of rows.
 
     Blocks of consecutive rows are moved as a whole: a row at place ``j`` of block ``k`` takes the
-    columns of place ``j`` of the block that follows ``k`` in a seeded order (rows of a last, shorter
-    block wrap around). Ranks by two levels; no global sort in one task.
+    columns of place ``j`` of block ``a * k + c`` (mod the number of blocks; ``a`` and ``c`` seeded, ``a``
+    coprime), a permutation that needs no order of the blocks. Places in the last, shorter block
+    wrap around. Ranks by two levels; no global sort in one task.
     """
     cols = sorted({c for f in families.values() for c in f})
     x = rows.select(order, y, *state.columns)
     # Place in the order by two levels: ranges of the key are counted, rows numbered within them.
-    span = x.agg(F.min(order).alias("a"), F.max(order).alias("z")).first()
+    span = x.agg(F.min(order).alias("a"), F.max(order).alias("z"), F.count("*").alias("n")).first()
+    rows_n = span.n
     width = max(1, -(-((span.z or 0) - (span.a or 0) + 1) // 256))
     x = x.withColumn("_r", F.floor((F.col(order) - (span.a or 0)) / width))
     before = W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
@@ -288,12 +295,14 @@ def block_importance(rows: DataFrame, order: str, families: dict[str, list[str]]
     x = x.join(base_n, "_r")
     n = F.col("_b") + F.row_number().over(W.partitionBy("_r").orderBy(order)) - 1
     x = x.withColumn("_n", n).withColumn("_k", F.floor(F.col("_n") / block)).withColumn("_j", F.col("_n") % block)
-    sizes = x.groupBy("_k").agg(F.count("*").alias("_size"))
-    ring = sizes.withColumn("_o", F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed), "_k"), "_k")))
-    w = W.orderBy("_o")
-    ring = ring.withColumn("_from", F.coalesce(F.lead("_k").over(w), F.first("_k").over(w))).withColumn("_fsize", F.coalesce(F.lead("_size").over(w), F.first("_size").over(w)))
+    blocks = max(1, -(-rows_n // block))
+    rng = np.random.default_rng(seed)
+    a = next(int(v) for v in rng.integers(1, max(2, blocks), 1000) if math.gcd(int(v), blocks) == 1)
+    c0 = int(rng.integers(blocks))
     donors = x.select(F.col("_k").alias("_from"), F.col("_j").alias("_fj"), *[F.col(c).alias(f"_d_{c}") for c in cols])
-    j = x.join(ring.select("_k", "_from", "_fsize"), "_k").withColumn("_fj", F.col("_j") % F.col("_fsize")).join(donors, ["_from", "_fj"])
+    src = F.pmod(F.col("_k") * a + c0, F.lit(blocks))
+    size = F.when(src == blocks - 1, rows_n - (blocks - 1) * block).otherwise(block)
+    j = x.withColumn("_from", src).withColumn("_fj", F.col("_j") % size).join(donors, ["_from", "_fj"])
     yc = F.col(y).cast("double")
     base = clipped_loss(yc, state.probability())
     out = []

@@ -28,10 +28,10 @@ def _changes(*keys: pa.Array) -> np.ndarray:
     return out
 
 
-def disjoint(new: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def disjoint(new: np.ndarray, s: np.ndarray, e: np.ndarray, touching: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Linear merge of intervals sorted by start within each key (``new`` marks a key's first row).
 
-    Returns the index of each merged interval's first row, and its end. Touching ones merge.
+    Returns the index of each merged interval's first row, and its end. Touching ones merge if ``touching``.
     """
     n = len(s)
     # A running maximum that restarts with each key: over ranks of the ends, lifted by key.
@@ -41,7 +41,7 @@ def disjoint(new: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray,
     group = np.cumsum(new) - 1
     reach = e[by_end[np.maximum.accumulate(rank + group * n) - group * n]]
     begins = new.copy()
-    begins[1:] |= s[1:] > reach[:-1]
+    begins[1:] |= s[1:] > reach[:-1] if touching else s[1:] >= reach[:-1]
     first = np.flatnonzero(begins)
     last = np.append(first[1:], n) - 1
     return first, reach[last]
@@ -51,7 +51,7 @@ def _emit(k: pa.Array, node: pa.Array, s: np.ndarray, e: np.ndarray, names: list
     return pa.RecordBatch.from_arrays([k, node, pa.array(s), pa.array(e)], names=names)
 
 
-def _partial(names: list[str]) -> Callable[[Batches], Batches]:
+def _partial(names: list[str], touching: bool) -> Callable[[Batches], Batches]:
     """Before any shuffle: each batch becomes one sorted disjoint list per (entity, slot)."""
 
     def run(batches: Batches) -> Batches:
@@ -63,14 +63,14 @@ def _partial(names: list[str]) -> Callable[[Batches], Batches]:
             code = k.dictionary_encode().indices.to_numpy()
             order = np.lexsort((s, node.to_numpy(), code))
             k, node, s, e = k.take(pa.array(order)), node.take(pa.array(order)), s[order], e[order]
-            first, end = disjoint(_changes(k, node), s, e)
+            first, end = disjoint(_changes(k, node), s, e, touching)
             at = pa.array(first)
             yield _emit(k.take(at), node.take(at), s[first], end, names)
 
     return run
 
 
-def _combine(names: list[str]) -> Callable[[Batches], Batches]:
+def _combine(names: list[str], touching: bool) -> Callable[[Batches], Batches]:
     """Lists that arrive sorted by (entity, node, start) are merged in one pass; only the last period is held."""
 
     def run(batches: Batches) -> Batches:
@@ -82,7 +82,7 @@ def _combine(names: list[str]) -> Callable[[Batches], Batches]:
             if held is not None:
                 cols = [pa.concat_arrays([held.column(i), cols[i]]) for i in range(4)]
             k, node, s, e = cols[0], cols[1], cols[2].to_numpy(), cols[3].to_numpy()
-            first, end = disjoint(_changes(k, node), s, e)
+            first, end = disjoint(_changes(k, node), s, e, touching)
             at = pa.array(first)
             out = _emit(k.take(at), node.take(at), s[first], end, names)
             held = out.slice(len(first) - 1)
@@ -103,11 +103,13 @@ def merged_periods(
     slot: int = 86_400,
     fanout: int = 32,
     levels: int = 2,
+    touching: bool = True,
 ) -> DataFrame:
     """Per entity its continuous periods and the gaps between them: ``(entity, kind, from_s, to_s)``.
 
     ``start`` and ``end`` are integer columns of one unit (seconds for the default ``slot``).
     Intervals that overlap, nest or touch form one period; ``kind`` is ``period`` or ``gap``.
+    Without ``touching`` those that only touch stay apart (with an empty gap between them).
     Rows with a null entity or bound, or not longer than zero, are ignored; repeated rows merge
     into themselves; an empty table gives no rows; other columns are not read.
 
@@ -126,17 +128,17 @@ def merged_periods(
         .where("_k is not null and _s is not null and _e > _s")
         .select("_k", floor_div(F.col("_s"), big(slot)).alias("_node"), "_s", "_e")
     )
-    lists = rows.mapInArrow(_partial(names), rows.schema)
+    lists = rows.mapInArrow(_partial(names, touching), rows.schema)
     for level in range(levels):
         if level:
             lists = lists.withColumn("_node", floor_div(F.col("_node"), big(fanout)))
-        lists = lists.repartition("_k", "_node").sortWithinPartitions("_k", "_node", "_s").mapInArrow(_combine(names), rows.schema)
+        lists = lists.repartition("_k", "_node").sortWithinPartitions("_k", "_node", "_s").mapInArrow(_combine(names, touching), rows.schema)
     lists = written(lists, "periods")
 
     # How far all earlier nodes of the entity reach; what begins no later belongs to a period from before.
     earlier = W.partitionBy("_k").orderBy("_node").rowsBetween(W.unboundedPreceding, -1)
     reach = lists.groupBy("_k", "_node").agg(F.max("_e").alias("_top")).withColumn("_reach", F.max("_top").over(earlier))
-    placed = lists.join(reach, ["_k", "_node"]).withColumn("_own", F.col("_reach").isNull() | (F.col("_s") > F.col("_reach")))
+    placed = lists.join(reach, ["_k", "_node"]).withColumn("_own", F.col("_reach").isNull() | (F.col("_s") > F.col("_reach") if touching else F.col("_s") >= F.col("_reach")))
     node = placed.groupBy("_k", "_node").agg(
         F.min(F.when(F.col("_own"), F.col("_s"))).alias("_first"),
         F.greatest(F.max("_reach"), F.max(F.when(~F.col("_own"), F.col("_e")))).alias("_closed"),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.operators.chunks import with_running
+
 EPS = float(np.finfo(np.float64).eps)
 THRESHOLDS = (0.3, 0.4, 0.5)
 
@@ -44,13 +46,17 @@ def scores(rows: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFr
     Rows collapse to (group, score) before anything is ordered: ties share one step in the
     precision-recall curve and count half in the area.
     """
+    if not by:
+        raise ValueError("name at least one grouping column")
     yc, pc = F.col(y).cast("double"), F.col(p)
     per = rows.groupBy(*by, pc.alias("_p")).agg(
         F.count("*").alias("_n"), F.sum(yc).alias("_t"), F.sum(clipped_loss(yc, pc)).alias("_ll"), F.sum((pc - yc) * (pc - yc)).alias("_br")
     )
-    down = W.partitionBy(*by).orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*by)
-    per = per.withColumns({"_ct": F.sum("_t").over(down), "_cn": F.sum("_n").over(down), "_pos": F.sum("_t").over(whole), "_all": F.sum("_n").over(whole)})
+    # Scores from the highest down, in 65,536 bands: a group's scores are not ordered in one task.
+    per = per.withColumn("_k", -F.floor(F.col("_p") * 65_536)).withColumn("_down", -F.col("_p"))
+    per = with_running(per, by, ["_k", "_down"], [F.col("_t"), F.col("_n")], ["_ct", "_cn"], 1024)
+    whole = per.groupBy(*by).agg(F.sum("_t").alias("_pos"), F.sum("_n").alias("_all"))
+    per = per.join(whole, by)
     neg = F.col("_n") - F.col("_t")
     above = F.col("_ct") - F.col("_t")
     return per.groupBy(*by).agg(

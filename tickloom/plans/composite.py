@@ -42,7 +42,7 @@ def uniqueness_open(s, d):
     c = C.coordinates(table(s, d, "session_clock"))
     t = research.spans(s, d).select("trade_id", "book_id", (floor_div(F.col("a"), big(60)) * 60).alias("a"), (floor_div(F.col("z"), big(60)) * 60).alias("z"))
     x = C.with_coordinate(C.with_coordinate(t, c, "a", "ca"), c, "z", "cz").where("ca < cz")
-    return V.uniqueness(x, "trade_id", "book_id", "ca", "cz").select("trade_id", rounded("raw", 8))
+    return V.uniqueness(x, "trade_id", "book_id", "ca", "cz", 7 * 1440).select("trade_id", rounded("raw", 8))
 
 
 @query
