@@ -46,6 +46,19 @@ def test_touching_nested_and_distant(spark):
     assert periods(spark, [(1, 0, 10)][:0]) == Counter()
 
 
+def test_touching_intervals_stay_apart_if_asked(spark):
+    rng = random.Random(4)
+    rows = [(1, s := rng.randrange(300), s + rng.randrange(1, 9)) for _ in range(90)]
+    got = periods(spark, rows, slot=7, fanout=3, touching=False)
+    done = []
+    for s, e in sorted((s, e) for _, s, e in rows):
+        if done and s < done[-1][1]:
+            done[-1][1] = max(done[-1][1], e)
+        else:
+            done.append([s, e])
+    assert {k[2:] for k in got if k[1] == "period"} == set(map(tuple, done)) and len(done) > 5
+
+
 def test_rolling(spark):
     day = 86_400
     base = 20_000 * day

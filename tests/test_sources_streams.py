@@ -18,9 +18,9 @@ from tickloom.streaming.twins import stream_bars, stream_cusum, stream_highwater
 def test_binary_feeds(spark, tmp_path):
     t = np.array([(0, 110005, 110000, 1.5, 2.5), (999, 110007, 110001, 0.5, 0.25)], S.TICK_RECORD)
     (tmp_path / "t").mkdir()
-    (tmp_path / "t" / "1000.bi5").write_bytes(lzma.compress(t.tobytes()))
-    (tmp_path / "t" / "2000.bi5").write_bytes(b"")
-    start = F.regexp_extract("path", r"(\d+)\.bi5$", 1)
+    (tmp_path / "t" / "1000.bin").write_bytes(lzma.compress(t.tobytes()))
+    (tmp_path / "t" / "2000.bin").write_bytes(b"")
+    start = F.regexp_extract("path", r"(\d+)\.bin$", 1)
     rows = sorted(map(tuple, S.read_binary_ticks(spark, str(tmp_path / "t"), start).drop("path").collect()))
     assert [(r[0], str(r[1]), str(r[2]), r[3], r[4]) for r in rows] == [(1000, "1.10000000", "1.10005000", 2.5, 1.5), (1999, "1.10001000", "1.10007000", 0.25, 0.5)]
     b = np.array([(60, 1, 4, 0, 9, 3.0)], S.BAR_RECORD)
