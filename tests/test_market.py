@@ -61,6 +61,18 @@ def test_hold_limits(spark):
     assert label(spark, [bar(0), bar(2)], 2)[T0, 1].outcome == "censored"
 
 
+def test_hold_is_72_hours_on_every_scale(spark):
+    d = lambda x: F.lit(x).cast("decimal(18,8)")
+    m1 = [bar(i) for i in range(4319)] + [bar(4319, high=1.106)]
+    h1 = [bar(i, step=3600) for i in range(72)] + [bar(72, high=1.106, step=3600)]
+    for rows, want in ((m1[:4319] + [bar(4319)], ("timeout", 259_200)), (m1, ("boundary", 259_200)), (m1[1000:], ("take_profit", 259_200)), (h1, ("timeout", 259_200))):
+        out = L.contiguous_labels(spark.createDataFrame(rows, BAR), tp=d("0.0050"), sl=d("0.0020")).where("side = 1").orderBy("b").first()
+        assert (out.outcome, out.end_s - T0) == want
+    stopped = [bar(0, low=1.098), *[bar(i) for i in range(1, 4318)], bar(4318, high=1.106), bar(4319)]
+    out = L.contiguous_labels(spark.createDataFrame(stopped, BAR), tp=d("0.0050"), sl=d("0.0020")).where("side = 1").orderBy("b").first()
+    assert (out.outcome, out.post_status, out.post_s) == ("stop_loss", "reached", T0 + 4319 * 60)
+
+
 def test_target_after_the_stop(spark):
     r = label(spark, [bar(0, low=1.098), bar(1, high=1.105)], 10)[T0, 1]
     assert (r.post_status, r.post_s) == ("reached", T0 + 120)

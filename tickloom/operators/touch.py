@@ -156,9 +156,10 @@ def first_touch(
     return slim.groupBy("feed_id", "_c").applyInArrow(lambda t: _label(t, until_tie, gapless), LABELS)
 
 
-def contiguous_labels(bars: DataFrame, *, tp: Column, sl: Column, horizon_bars: int = 240) -> DataFrame:
-    """Labels on gapless runs: a missing bar censors; the deadline is ``horizon_bars`` bars after the entry."""
-    hold = F.col("step") * horizon_bars
+def contiguous_labels(bars: DataFrame, *, tp: Column, sl: Column, hold_s: int = 259_200, horizon_bars: int | None = None) -> DataFrame:
+    """Labels on gapless runs: a missing bar censors; the deadline is ``hold_s`` (72 hours) after the entry
+    on every scale, or ``horizon_bars`` bars after it if they are given."""
+    hold = F.lit(hold_s).cast("bigint") if horizon_bars is None else F.col("step") * horizon_bars
     return first_touch(bars, tp=tp, sl=sl, horizon_s=hold, deadline=F.col("b") + hold, censor=F.col("b"), gapless=True)
 
 

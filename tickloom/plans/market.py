@@ -216,7 +216,7 @@ def session_cusum(s, d):
 
 def labels(s, d):
     b = with_pip(bars(s, d), s, d)
-    return L.contiguous_labels(b, tp=F.col("pip") * 50, sl=F.col("pip") * 20, horizon_bars=240)
+    return L.contiguous_labels(b, tp=F.col("pip") * 50, sl=F.col("pip") * 20)
 
 
 @query
