@@ -179,3 +179,23 @@ def test_ledger(tmp_path):
     (tmp_path / "l").write_text(text)
     with pytest.raises(ValueError):
         led.records()
+
+
+def test_queries_use_all_28_columns(spark, monkeypatch):
+    from tickloom.plans import account, composite
+
+    fitted, families = [], {}
+
+    def fit(rows, columns, *a, **k):
+        fitted.append(list(columns))
+        n = len(columns)
+        return M.LogisticState(tuple(columns), (0.0,) * n, (1.0,) * n, (0.0,) * n, 0.0, {})
+
+    monkeypatch.setattr(M, "fit_logistic", fit)
+    monkeypatch.setattr(M, "block_importance", lambda x, order, f, *a, **k: families.update(f))
+    d = "/root/testdata/sf0.001"
+    assert composite.single_features(spark, d).select("feature").distinct().count() == 28
+    account.logistic_weighted(spark, d)
+    account.family_importance(spark, d)
+    assert fitted[-2:] == [account.COLUMNS] * 2
+    assert sorted(c for f in families.values() for c in f) == sorted(account.COLUMNS)

@@ -86,6 +86,10 @@ def tick_first_touch(s, d):
 # --- models ----------------------------------------------------------------------------------------
 
 COLUMNS = [f"x{i}" for i in range(28)]
+#: The matrix has the 28 features in the order of ``past_features``: ret, vol, range, z, eff of each of four windows, then the rest.
+FAMILIES = {
+    "movement": COLUMNS[0:20:5], "volatility": COLUMNS[1:20:5] + COLUMNS[2:20:5], "position": COLUMNS[3:20:5], "path": COLUMNS[4:20:5] + COLUMNS[20:23], "context": COLUMNS[23:],
+}
 
 
 def matrix(s, d):
@@ -104,7 +108,7 @@ def weighted_prior(s, d):
 def logistic_weighted(s, d):
     """Fitted on all known rows, scored by the expression; per month the mean probability and the loss."""
     x = matrix(s, d)
-    state = M.fit_logistic(x, COLUMNS[:8])
+    state = M.fit_logistic(x, COLUMNS)
     p = x.select("month", "y", state.probability().alias("p"))
     return p.groupBy("month").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg(S.clipped_loss(F.col("y").cast("double"), F.col("p"))).alias("log_loss"))
 
@@ -121,8 +125,7 @@ def walk_forward(s, d):
 @query
 def family_importance(s, d):
     x = matrix(s, d)
-    state = M.fit_logistic(x, COLUMNS[:8])
-    return M.block_importance(x, "row_id", {"first": COLUMNS[:4], "second": COLUMNS[4:8]}, state, "y")
+    return M.block_importance(x, "row_id", FAMILIES, M.fit_logistic(x, COLUMNS), "y")
 
 
 @query
