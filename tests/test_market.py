@@ -301,3 +301,16 @@ def test_late_rows_are_kept_and_flagged(spark):
     for width in (1, 2, 4096):
         got = sorted((r.quote_id, r.available_ms, r.late) for r in K.highwater(df, width=width).collect())
         assert got == [(0, 100, False), (1, 100, True), (2, 100, False), (3, 100, False), (4, 101, False), (5, 101, True)]
+
+
+def test_volatility_queries_have_the_whole_history_and_horizon(spark, monkeypatch):
+    from tickloom.plans import market
+
+    d = "/root/testdata/sf0.01"
+    v = market.ew_volatility(spark, d)
+    assert v.where("valid and returns < 100").count() == 0
+    asked, rows = {}, market._session_rows
+    monkeypatch.setattr(market, "_session_rows", lambda s, d, horizon=4320: asked.update(h=horizon) or rows(s, d, horizon))
+    monkeypatch.setattr(market.L, "session_labels", lambda r, **k: asked.update(k) or r.selectExpr("feed_id", "1 side", "'' outcome"))
+    market.volatility_labels(spark, d)
+    assert (asked["h"], asked["longest_s"]) == (4320, 10 * 86_400)

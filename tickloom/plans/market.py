@@ -197,7 +197,7 @@ def _segmented(s, d):
 
 @query
 def ew_volatility(s, d):
-    v = X.ew_volatility(_segmented(s, d), lag=60, window=120, span=40, minimum=30)
+    v = X.ew_volatility(_segmented(s, d))
     return v.select("feed_id", "b", rounded("sigma", 7), "returns", "reason", "valid")
 
 
@@ -254,12 +254,12 @@ def session_labels(s, d):
 @query
 def volatility_labels(s, d):
     """Barriers of 2.5 and 1 times the price volatility known at the entry; others are causally ineligible."""
-    vol = X.ew_volatility(_segmented(s, d), lag=60, window=120, span=40, minimum=30).select("feed_id", "b", "price_volatility", "valid")
-    rows = _session_rows(s, d, 720).join(vol, ["feed_id", "b"])
+    vol = X.ew_volatility(_segmented(s, d)).select("feed_id", "b", "price_volatility", "valid")
+    rows = _session_rows(s, d).join(vol, ["feed_id", "b"])
     pv = F.col("price_volatility").cast("string").cast("decimal(38,20)")
     tp, sl = (pv * F.lit("2.5").cast("decimal(2,1)")).cast("decimal(18,8)"), pv.cast("decimal(18,8)")
     ok = F.col("valid") & (F.col("open") > tp) & (sl > 0)
-    out = L.session_labels(rows, tp=tp, sl=sl, longest_s=6 * 86_400, eligible=ok)
+    out = L.session_labels(rows, tp=tp, sl=sl, longest_s=10 * 86_400, eligible=ok)
     return out.groupBy("feed_id", "side", "outcome").agg(F.count("*").alias("n"))
 
 
