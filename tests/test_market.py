@@ -314,3 +314,9 @@ def test_volatility_queries_have_the_whole_history_and_horizon(spark, monkeypatc
     monkeypatch.setattr(market.L, "session_labels", lambda r, **k: asked.update(k) or r.selectExpr("feed_id", "1 side", "'' outcome"))
     market.volatility_labels(spark, d)
     assert (asked["h"], asked["longest_s"]) == (4320, 10 * 86_400)
+
+
+def test_fractional_difference_keeps_its_long_memory(spark):
+    n = len(X.fractional_weights(0.5, 1e-4))
+    got = X.fractional_difference(spark.createDataFrame([bar(i, close=1.1 + i % 7 / 1000, high=1.2) for i in range(n + 5)], BAR))
+    assert [r.b for r in got.where("valid").orderBy("b").collect()] == [T0 + i * 60 for i in range(n, n + 5)]
