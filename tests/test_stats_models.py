@@ -199,3 +199,15 @@ def test_queries_use_all_28_columns(spark, monkeypatch):
     account.family_importance(spark, d)
     assert fitted[-2:] == [account.COLUMNS] * 2
     assert sorted(c for f in families.values() for c in f) == sorted(account.COLUMNS)
+
+
+def test_bootstrap_and_networks_have_their_whole_budgets(spark, monkeypatch):
+    from tickloom.plans import account
+
+    d = "/root/testdata/sf0.001"
+    b = account.bagged_bootstrap(spark, d).groupBy("population").sum("draws").collect()
+    assert {r[1] for r in b} == {3 * 512}
+    asked = {}
+    monkeypatch.setattr(M, "fit_networks", lambda x, by, columns, *a, **k: asked.update(k, columns=columns) or x.selectExpr("month population", "1 seed", "1 n", "1 loss"))
+    account.networks(spark, d)
+    assert asked["columns"] == account.COLUMNS and asked["updates"] * 200 >= 200_000

@@ -130,12 +130,12 @@ def family_importance(s, d):
 
 @query
 def networks(s, d):
-    return M.fit_networks(matrix(s, d), "month", COLUMNS[:8], "y", "w", seeds=[1, 2], updates=100).select("population", "seed", "n", "loss")
+    return M.fit_networks(matrix(s, d), "month", COLUMNS, "y", "w", seeds=[1, 2], updates=9580).select("population", "seed", "n", "loss")
 
 
 @query
 def bagged_bootstrap(s, d):
     """How often each trade is drawn by sequential interval bootstrap within its book's month, and its mean probability."""
     x = spans(s, d).withColumn("month", F.date_format(F.timestamp_seconds("a"), "yyyy-MM"))
-    b = M.interval_bootstrap(x, ["book_id", "month"], "trade_id", "a", "z", members=2, draws=32)
+    b = M.interval_bootstrap(x, ["book_id", "month"], "trade_id", "a", "z", members=3, draws=512)
     return b.groupBy("population", "id").agg(F.count("*").alias("draws"), F.avg("p").alias("mean_p"))
