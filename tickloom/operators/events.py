@@ -5,24 +5,55 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.functions.time import DAY_S
+from tickloom.operators.chunks import with_previous, with_running
 
-def cusum_scan(change: np.ndarray, reset: np.ndarray, h: float) -> np.ndarray:
-    """Both sums restart at ``reset``; a strict crossing fires, the negative one first, and only the side that fires restarts."""
-    out = np.zeros(len(change), bool)
-    up = down = 0.0
-    for i, (x, r) in enumerate(zip(change.tolist(), reset.tolist())):
-        if r:
-            up = down = 0.0
+#: Seconds in a bucket of the two-level passes over a feed.
+RUN_WIDTH = 30 * DAY_S
+
+
+def _crossings(level: np.ndarray, h: float, base: float) -> tuple[list[int], float]:
+    """Rows at which ``level`` stands more than ``h`` above its lowest since the last such row, ``base`` included.
+
+    Whole stretches at a time: a running minimum gives the first crossing of each, and the
+    stretch after a crossing starts at the level it was made at.
+    """
+    hits, at, width, n = [], 0, 64, len(level)
+    while at < n:
+        part = level[at : at + width]
+        low = np.minimum(np.minimum.accumulate(part), base)
+        over = part - low > h
+        k = int(over.argmax())
+        if over[k]:
+            hits.append(at + k)
+            at, base, width = at + k + 1, part[k], 64
+        else:
+            at, base, width = at + len(part), low[-1], min(2 * width, 65_536)
+    return hits, base
+
+
+def cusum_scan(log_price: np.ndarray, reset: np.ndarray, h: float, low: float = np.inf, high: float = -np.inf) -> tuple[np.ndarray, float, float]:
+    """Rows at which a symmetric CUSUM of log changes fires, and the lowest and highest level it goes on from.
+
+    A positive sum that is cut at zero is the rise above the lowest level since it was last
+    restarted, a negative one the fall from the highest; each restarts only when it fires itself,
+    so the two are found apart. Crossings are strict. A ``reset`` row restarts both at its level.
+    """
+    fired = np.zeros(len(log_price), bool)
+    edges = np.concatenate(([0], np.flatnonzero(reset), [len(log_price)]))
+    for a, z in zip(edges[:-1], edges[1:]):
+        if a == z:
             continue
-        up, down = max(0.0, up + x), min(0.0, down + x)
-        if down < -h:
-            down, out[i] = 0.0, True
-        elif up > h:
-            up, out[i] = 0.0, True
-    return out
+        part = log_price[a:z]
+        if reset[a]:
+            low, high = np.inf, -np.inf
+        up, low = _crossings(part, h, low)
+        down, high = _crossings(-part, h, -high)
+        high = -high
+        fired[a + np.array(up + down, np.int64)] = True
+    return fired, float(low), float(high)
 
 
 def cusum_events(bars: DataFrame, h: float, *, broke: str | None = None) -> DataFrame:
@@ -32,17 +63,17 @@ def cusum_events(bars: DataFrame, h: float, *, broke: str | None = None) -> Data
     one) restarts both sums and is no entry. Sums do not combine, so a gapless run is the unit
     of work: runs, not feeds, are spread over the tasks.
     """
-    w = W.partitionBy("feed_id").orderBy("b")
-    gap = F.coalesce(F.col("b") - F.lag("b").over(w) != F.col("step"), F.lit(True)) if broke is None else F.coalesce(F.col(broke), F.lag("b").over(w).isNull()) | F.lag("b").over(w).isNull()
-    change = F.ln(F.col("close").cast("double")) - F.ln(F.lag("close").over(w).cast("double"))
-    rows = bars.select("feed_id", "b", gap.alias("reset"), F.coalesce(change, F.lit(0.0)).alias("change"))
-    run = F.sum(F.col("reset").cast("bigint")).over(w.rowsBetween(W.unboundedPreceding, 0))
+    x = with_previous(bars, ["feed_id"], ["b"], ["b"], RUN_WIDTH, keep=True)
+    first = F.col("prev_b").isNull()
+    gap = first | ((F.col("b") - F.col("prev_b") != F.col("step")) if broke is None else F.coalesce(F.col(broke), F.lit(False)))
+    rows = x.select("feed_id", "b", "_tb", gap.alias("reset"), F.ln(F.col("close").cast("double")).alias("level"))
+    rows = with_running(rows, ["feed_id"], ["b"], F.col("reset").cast("bigint"), "_run", RUN_WIDTH)
 
     def scan(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("b").to_numpy(), kind="stable")
-        get = lambda c: t.column(c).to_numpy()[order]
-        event = cusum_scan(get("change"), get("reset"), h)
-        entry = np.append(False, event[:-1]) & ~get("reset").astype(bool)
+        get = lambda c: t.column(c).to_numpy(zero_copy_only=False)[order]
+        event, _, _ = cusum_scan(get("level"), get("reset"), h)
+        entry = np.append(False, event[:-1]) & ~get("reset")
         return pa.table({"feed_id": get("feed_id"), "b": get("b"), "event": event, "entry": entry})
 
-    return rows.withColumn("_run", run).groupBy("feed_id", "_run").applyInArrow(scan, "feed_id bigint, b bigint, event boolean, entry boolean")
+    return rows.groupBy("feed_id", "_run").applyInArrow(scan, "feed_id bigint, b bigint, event boolean, entry boolean")

@@ -8,11 +8,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tickloom.operators.events import cusum_scan
 
 
 def stream_bars(ticks: DataFrame, *, time: str, key: str, price: str, order: str, width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
@@ -52,27 +54,18 @@ def stream_highwater(ticks: DataFrame, *, key: str, seq: str, time_ms: str, iden
 
 
 def stream_cusum(bars: DataFrame, *, key: str, time: str, close: str, step_s: int, h: float) -> DataFrame:
-    """``(key, time, event)`` of bars in order; the state is both sums and the bar before."""
+    """``(key, time, event)`` of bars that come in order; the state is the bar before and the two levels ``cusum_scan`` goes on from."""
+
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prev_t, prev_c, up, down = state.get if state.exists else (None, None, 0.0, 0.0)
+        before, low, high = state.get if state.exists else (None, math.inf, -math.inf)
         rows = pd.concat(list(batches)).sort_values(time, kind="stable")
-        events = []
-        for t, c in zip(rows[time].tolist(), rows[close].astype(float).tolist()):
-            fired = False
-            if prev_t is None or t - prev_t != step_s:
-                up = down = 0.0
-            else:
-                x = math.log(c) - math.log(prev_c)
-                up, down = max(0.0, up + x), min(0.0, down + x)
-                if down < -h:
-                    down, fired = 0.0, True
-                elif up > h:
-                    up, fired = 0.0, True
-            prev_t, prev_c = int(t), c
-            events.append(fired)
-        state.update((prev_t, prev_c, up, down))
-        yield pd.DataFrame({key: k[0], time: rows[time].to_numpy(), "event": events})
+        at = rows[time].to_numpy(np.int64)
+        reset = np.diff(at, prepend=at[0] - step_s if before is None else before) != step_s
+        reset[0] |= before is None
+        event, low, high = cusum_scan(np.log(rows[close].astype(float).to_numpy()), reset, h, low, high)
+        state.update((int(at[-1]), low, high))
+        yield pd.DataFrame({key: k[0], time: at, "event": event})
 
     return bars.select(key, time, close).groupBy(key).applyInPandasWithState(
-        step, f"{key} bigint, {time} bigint, event boolean", "t bigint, c double, up double, down double", "append", GroupStateTimeout.NoTimeout
+        step, f"{key} bigint, {time} bigint, event boolean", "t bigint, low double, high double", "append", GroupStateTimeout.NoTimeout
     )
