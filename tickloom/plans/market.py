@@ -201,6 +201,13 @@ def ew_volatility(s, d):
     return v.select("feed_id", "b", rounded("sigma", 7), "returns", "reason", "valid")
 
 
+@query
+def ew_volatility_hour(s, d):
+    """The same of returns over an hour with a short memory, which has values even where feeds have many gaps."""
+    v = X.ew_volatility(_segmented(s, d), lag=60, window=120, span=40, minimum=30)
+    return v.select("feed_id", "b", rounded("sigma", 7), "returns", "reason", "valid")
+
+
 @query
 def cusum_events(s, d):
     return E.cusum_events(bars(s, d), 0.002).where("event or entry")

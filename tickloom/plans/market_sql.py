@@ -143,7 +143,7 @@ def _fraction(d: float, tol: float) -> list[float]:
     return w
 
 
-_FW = _fraction(0.5, 1e-3)
+_FW = _fraction(0.5, 1e-4)
 SQL["fractional_difference"] = (
     f"WITH {BARS}, x AS (SELECT *, ln(CAST(close AS DOUBLE)) AS lc, lag(b, {len(_FW)}) OVER (PARTITION BY feed_id ORDER BY b) AS far FROM bars), "
     f"y AS (SELECT feed_id, b, coalesce(b - far = step * {len(_FW)}, FALSE) AS valid, list(lc) OVER (PARTITION BY feed_id ORDER BY b ROWS BETWEEN {len(_FW)} PRECEDING AND 1 PRECEDING) AS p FROM x) "
@@ -152,17 +152,25 @@ SQL["fractional_difference"] = (
 SQL["momentum_side"] = f"""WITH {BARS}, x AS (
   SELECT feed_id, step, b, lag(close, 1) OVER w AS near, lag(close, 61) OVER w AS far, lag(b, 61) OVER w AS fb FROM bars WINDOW w AS (PARTITION BY feed_id ORDER BY b))
 SELECT feed_id, b, CAST(CASE WHEN b - fb = step * 61 THEN CASE WHEN near > far THEN 1 WHEN near < far THEN -1 ELSE 0 END END AS INT) AS side FROM x"""
-SQL["ew_volatility"] = f"""WITH {BARS}, {CLOCK}, {M1},
+
+
+def _ew(lag: int, window: int, span: int, minimum: int) -> str:
+    k = f"{span - 1}.0 / {span + 1}.0"
+    return f"""WITH {BARS}, {CLOCK}, {M1},
 an AS (SELECT s.*, CAST(s.close AS DOUBLE) / CAST(a.close AS DOUBLE) - 1 AS ret, row_number() OVER (PARTITION BY s.feed_id, s.seg ORDER BY s.b) AS pos
-  FROM segs s LEFT JOIN segs a ON a.feed_id = s.feed_id AND a.seg = s.seg AND a.coord = s.coord - 60),
+  FROM segs s LEFT JOIN segs a ON a.feed_id = s.feed_id AND a.seg = s.seg AND a.coord = s.coord - {lag}),
 p AS (
-  SELECT i.feed_id, i.b, count(j.ret) AS n, sum(pow(39.0 / 41.0, i.pos - 1 - j.pos)) FILTER (j.ret IS NOT NULL) AS a,
-    sum(pow(39.0 / 41.0, i.pos - 1 - j.pos) * j.ret) AS bb, sum(pow(39.0 / 41.0, i.pos - 1 - j.pos) * j.ret * j.ret) AS c,
-    sum(pow(39.0 / 41.0, 2 * (i.pos - 1 - j.pos))) FILTER (j.ret IS NOT NULL) AS d
-  FROM an i LEFT JOIN an j ON j.feed_id = i.feed_id AND j.seg = i.seg AND j.pos < i.pos AND j.pos >= i.pos - 120 GROUP BY 1, 2),
-v AS (SELECT *, CASE WHEN n >= 30 THEN sqrt((c - bb * bb / a) / (a - d / a)) END AS sigma FROM p)
-SELECT feed_id, b, {r("sigma", 7)} AS sigma, n AS returns, CASE WHEN n < 30 THEN 'insufficient_history' WHEN sigma = 0 THEN 'zero_volatility' ELSE '' END AS reason,
-  n >= 30 AND sigma > 0 AS valid FROM v"""
+  SELECT i.feed_id, i.b, count(j.ret) AS n, sum(pow({k}, i.pos - 1 - j.pos)) FILTER (j.ret IS NOT NULL) AS a,
+    sum(pow({k}, i.pos - 1 - j.pos) * j.ret) AS bb, sum(pow({k}, i.pos - 1 - j.pos) * j.ret * j.ret) AS c,
+    sum(pow({k}, 2 * (i.pos - 1 - j.pos))) FILTER (j.ret IS NOT NULL) AS d
+  FROM an i LEFT JOIN an j ON j.feed_id = i.feed_id AND j.seg = i.seg AND j.pos < i.pos AND j.pos >= i.pos - {window} GROUP BY 1, 2),
+v AS (SELECT *, CASE WHEN n >= {minimum} THEN sqrt((c - bb * bb / a) / (a - d / a)) END AS sigma FROM p)
+SELECT feed_id, b, {r("sigma", 7)} AS sigma, n AS returns, CASE WHEN n < {minimum} THEN 'insufficient_history' WHEN sigma = 0 THEN 'zero_volatility' ELSE '' END AS reason,
+  n >= {minimum} AND sigma > 0 AS valid FROM v"""
+
+
+SQL["ew_volatility"] = _ew(1440, 500, 100, 100)
+SQL["ew_volatility_hour"] = _ew(60, 120, 40, 30)
 
 
 def _cusum(source: str, reset: str) -> str:
@@ -209,7 +217,7 @@ lab AS (
   FROM hits)
 """
 _CONTIGUOUS = (
-    f"WITH {BARS}, bounds AS (SELECT *, b + 240 * step AS deadline, max(b) OVER (PARTITION BY feed_id, run) + step AS censor FROM runs), "
+    f"WITH {BARS}, bounds AS (SELECT *, b + 259200 AS deadline, max(b) OVER (PARTITION BY feed_id, run) + step AS censor FROM runs), "
     + _ENTRIES.format(src="bounds", timeout="deadline <= censor")
 )
 SQL["first_touch_labels"] = (
