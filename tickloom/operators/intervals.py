@@ -131,28 +131,43 @@ def ordered_marks(rows: DataFrame, group: str, order: list[str], value: Column,
     )
 
 
-def _schedule(t: pa.Table) -> pa.Table:
-    """Most total value, then least total duration, of intervals that do not overlap; ties keep the earlier choice."""
-    start, end, value, ident = (t.column(c).to_numpy() for c in ("s", "e", "v", "id"))
-    order = np.lexsort((ident, start, end))
-    s, e, v = start[order], end[order], value[order]
-    pred = np.searchsorted(e, s, side="right")
-    pred = np.minimum(pred, np.arange(len(s)))
-    best, take = [(0, 0)], []
-    for i in range(len(s)):
-        base = best[pred[i]]
-        cand = (base[0] + int(v[i]), base[1] - int(e[i] - s[i]))
-        take.append(cand > best[-1])
-        best.append(cand if take[-1] else best[-1])
-    chosen, k = [], len(s)
-    while k:
-        if take[k - 1]:
-            chosen.append(k - 1)
-            k = pred[k - 1]
+def best_disjoint(start: np.ndarray, end: np.ndarray, value: np.ndarray) -> list[int]:
+    """Rows of most total value, then least total duration, that do not overlap.
+
+    Backwards over the instants at which intervals begin or end: what is to be had from an instant
+    on is either what is to be had from the next one, or an interval that begins there and what
+    is to be had from its end on. Both goals are two integer columns. The choice is then read off
+    forwards; of equally good ones the interval that ends first, with the smallest row, is taken.
+    """
+    instants = np.unique(np.concatenate((start, end)))
+    at, to = np.searchsorted(instants, start), np.searchsorted(instants, end)
+    order = np.lexsort((np.arange(len(start)), to, at))
+    opens = np.searchsorted(at[order], np.arange(len(instants) + 1))
+    gain, spent = np.zeros(len(instants), np.int64), np.zeros(len(instants), np.int64)
+    pick = np.full(len(instants), -1)
+    for p in range(len(instants) - 2, -1, -1):
+        gain[p], spent[p] = gain[p + 1], spent[p + 1]
+        here = order[opens[p] : opens[p + 1]]
+        if not len(here):
+            continue
+        total, length = value[here] + gain[to[here]], end[here] - start[here] + spent[to[here]]
+        top = np.lexsort((length, -total))[0]
+        if (total[top], -length[top]) > (gain[p], -spent[p]):
+            gain[p], spent[p], pick[p] = total[top], length[top], here[top]
+    chosen, p = [], 0
+    while p < len(instants):
+        if pick[p] < 0:
+            p += 1
         else:
-            k -= 1
-    at = order[np.array(chosen[::-1], dtype=np.int64)]
-    return pa.table({"g": t.column("g").take(pa.array(at)), "id": pa.array(ident[at])})
+            chosen.append(int(pick[p]))
+            p = to[pick[p]]
+    return chosen
+
+
+def _schedule(t: pa.Table) -> pa.Table:
+    t = t.sort_by("id")
+    rows = pa.array(best_disjoint(*(t.column(c).to_numpy() for c in ("s", "e", "v"))), pa.int64())
+    return t.select(["g", "id"]).take(rows)
 
 
 def independent_blocks(intervals: DataFrame, group: str, start: str, end: str) -> DataFrame:
