@@ -220,32 +220,51 @@ def network_probability(state: str, columns: list[str]) -> Column:
 # --- interval bootstrap ----------------------------------------------------------------------------
 
 
-def seed_of(*facts) -> int:
-    return int.from_bytes(hashlib.sha256(json.dumps(facts, sort_keys=True).encode()).digest()[:16], "big")
+def member_stream(*facts) -> np.random.Generator:
+    """A random stream of its own for each combination of facts, the same on every run and machine."""
+    return np.random.default_rng(list(hashlib.blake2b(repr(facts).encode(), digest_size=32).digest()))
+
+
+class UniqueShare:
+    """Average uniqueness of every interval beside those drawn so far, kept up to date draw by draw.
+
+    Time is cut at all ends. A draw lowers the worth of the spans it covers; an interval loses the part
+    of that loss that lies between its own ends, a difference of two running losses over the drawn
+    spans alone.
+    """
+
+    def __init__(self, start: np.ndarray, end: np.ndarray):
+        cuts = np.unique(np.concatenate((start, end)))
+        self.a, self.z = np.searchsorted(cuts, start), np.searchsorted(cuts, end)
+        self.width, self.length = np.diff(cuts).astype(float), (end - start).astype(float)
+        self.drawn = np.zeros(len(self.width))
+        self.worth = self.length.copy()
+
+    def add(self, i: int) -> None:
+        a, z = self.a[i], self.z[i]
+        times = self.drawn[a:z]
+        lost = np.concatenate(([0.0], np.cumsum(self.width[a:z] / ((times + 1) * (times + 2)))))
+        times += 1
+        self.worth -= lost[np.clip(self.z, a, z) - a] - lost[np.clip(self.a, a, z) - a]
+
+    def odds(self) -> np.ndarray:
+        return self.worth / self.length
 
 
 def sequential_draws(start: np.ndarray, end: np.ndarray, uniforms: np.ndarray, sequential: bool) -> tuple[np.ndarray, np.ndarray]:
     """Draws with replacement; sequentially with probability in proportion to the average uniqueness
-    that each interval would have beside those drawn so far."""
-    bounds = np.unique(np.concatenate((start, end)))
-    a, z = np.searchsorted(bounds, start), np.searchsorted(bounds, end)
-    width = np.diff(bounds).astype(float)
-    drawn = np.zeros(len(width))
-    length = (end - start).astype(float)
-    out, chosen = np.empty(len(uniforms), np.int64), np.empty(len(uniforms))
-    for k, u in enumerate(uniforms):
-        if sequential:
-            area = np.concatenate(([0.0], np.cumsum(width / (drawn + 1))))
-            p = (area[z] - area[a]) / length
-            p = p / p.sum()
-        else:
-            p = np.full(len(start), 1 / len(start))
-        cdf = np.cumsum(p)
-        cdf[-1] = 1.0
-        i = int(np.searchsorted(cdf, u, side="right"))
-        out[k], chosen[k] = i, p[i]
-        drawn[a[i] : z[i]] += 1
-    return out, chosen
+    that each interval would have beside those drawn so far. Each uniform number is turned into a
+    row by the running total of the odds; the second result is the probability of that row."""
+    share = UniqueShare(start, end)
+    rows, chances = [], []
+    for u in uniforms:
+        odds = share.odds() if sequential else np.ones(len(start))
+        running = np.cumsum(odds)
+        i = min(int(np.searchsorted(running, u * running[-1], side="right")), len(odds) - 1)
+        rows.append(i)
+        chances.append(odds[i] / running[-1])
+        share.add(i)
+    return np.array(rows, np.int64), np.array(chances)
 
 
 def interval_bootstrap(intervals: DataFrame, population: list[str], key: str, start: str, end: str, *, members: int, draws: int, sequential: bool = True, seed: int = 7) -> DataFrame:
@@ -261,7 +280,7 @@ def interval_bootstrap(intervals: DataFrame, population: list[str], key: str, st
         ids, a, z = (t.column(c).to_numpy() for c in ("_id", "_a", "_z"))
         o = np.argsort(ids, kind="stable")
         pop, member = t.column("population")[0].as_py(), t.column("member")[0].as_py()
-        u = np.random.Generator(np.random.PCG64(seed_of(pop, member, seed))).random(draws)
+        u = member_stream(pop, member, seed).random(draws)
         i, p = sequential_draws(a[o], z[o], u, sequential)
         n = len(i)
         return pa.table({"population": [pop] * n, "member": pa.array([member] * n, pa.int32()), "step": pa.array(np.arange(n), pa.int32()), "id": pa.array(ids[o][i]), "p": p})
