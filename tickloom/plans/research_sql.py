@@ -143,3 +143,14 @@ mine AS (SELECT DISTINCT feed_id, min(seq) AS first_seq, max(seq) AS last_seq, m
 given AS (SELECT DISTINCT feed_id, first_seq, last_seq, ts_ms, bid_min, ask_max FROM quote_groups WHERE eligible)"""
 SQL["replay_difference"] = f"""WITH {_TIES}, d AS (SELECT 'first' AS side, * FROM (SELECT * FROM mine EXCEPT SELECT * FROM given) UNION ALL SELECT 'second', * FROM (SELECT * FROM given EXCEPT SELECT * FROM mine))
 SELECT side, count(*) AS rows FROM d GROUP BY 1"""
+# The optimum of every prefix, carried along as lists: fine for the rows of a small table.
+SQL["schedule_weighted"] = f"""WITH RECURSIVE {_SPANS},
+w AS (SELECT book_id, a, z, CAST(value AS BIGINT) AS value, row_number() OVER (PARTITION BY book_id ORDER BY z, a, trade_id) AS i FROM sp WHERE outcome = 'take_profit' AND value > 0),
+p AS (SELECT w.*, (SELECT count(*) FROM w x WHERE x.book_id = w.book_id AND x.z <= w.a) AS k FROM w),
+c AS (
+  SELECT DISTINCT book_id, 0::BIGINT AS i, [0::BIGINT] AS vs, [0::BIGINT] AS ds, [0::BIGINT] AS ns FROM w
+  UNION ALL
+  SELECT book_id, i, list_append(vs, CASE WHEN take THEN nv ELSE vs[i] END), list_append(ds, CASE WHEN take THEN nd ELSE ds[i] END), list_append(ns, CASE WHEN take THEN ns[k + 1] + 1 ELSE ns[i] END)
+  FROM (SELECT p.book_id, p.i, p.k, vs, ds, ns, vs[k + 1] + value AS nv, ds[k + 1] + z - a AS nd, nv > vs[p.i] OR (nv = vs[p.i] AND nd < ds[p.i]) AS take
+        FROM c JOIN p ON p.book_id = c.book_id AND p.i = c.i + 1))
+SELECT book_id, ns[-1] AS trades, vs[-1] AS value, ds[-1] AS seconds FROM c QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY i DESC) = 1"""
