@@ -4,7 +4,9 @@ import datetime as dt
 import random
 from decimal import Decimal
 
-from tickloom.operators.faults import FaultConfig, candle_readings, group_readings, implausible
+import numpy as np
+
+from tickloom.operators.faults import FaultConfig, _nearer, _side_medians, _spread, candle_readings, exact_spikes, group_readings, implausible, phase_space_outliers
 
 UTC = dt.timezone.utc
 C = "candle_id long, feed_id long, ts timestamp, open_px decimal(18,8), high_px decimal(18,8), low_px decimal(18,8), close_px decimal(18,8), tab string"
@@ -99,3 +101,25 @@ def test_groups_and_degenerate_feeds(spark):
     assert {k for k, v in got.items() if "s" in v} == set(range(100, 120))
     assert not any(k >= 1000 for k in got)
     assert judged(spark, [], []) == {}
+
+
+def test_differences_find_what_the_value_alone_does_not():
+    n = 400
+    level = 100 + 40 * np.sin(np.arange(n) / 12)  # swings far wider than a bar, slowly
+    hi, lo = level + 0.5, level - 0.5
+    hi[200] += 14
+    usable = np.ones(n, bool)
+    found = phase_space_outliers([hi, lo], level, usable, 1.0, FaultConfig())
+    before, after = _side_medians(level, 15)
+    u = _nearer(hi, before[np.arange(n)], after[np.arange(n) + 1])
+    assert found[200] and abs(u[200]) < np.sqrt(2 * np.log(n)) * _spread(u, 0.0)
+    assert exact_spikes([hi, lo], level, found, ~usable, ~usable, 1.0, FaultConfig()).nonzero()[0].tolist() == [200]
+
+
+def test_mutual_spikes_come_to_an_end():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        level = rng.choice([0.0, 20.0, 40.0], 12)
+        cand = rng.random(12) < 0.8
+        got = exact_spikes([level], level, cand, np.zeros(12, bool), np.zeros(12, bool), 1.0, FaultConfig())
+        assert not (got & ~cand).any()

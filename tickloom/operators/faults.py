@@ -19,11 +19,10 @@ IMPOSSIBLE, STUCK, SPIKE = 1, 2, 4
 class FaultConfig:
     """``spike_ratio``: distance to the levels before and after, in medians of the feed's range.
     ``side``: readings on each side whose median is the local background, so spikes of up to
-    half as many readings are seen through. ``rounds``: bound of each fixpoint iteration."""
+    half as many readings are seen through. ``halo``: stamps that a chunk sees on both sides."""
 
     spike_ratio: float = 12.0
     side: int = 15
-    rounds: int = 12
     chunk: int = 4096
     halo: int = 256
 
@@ -62,14 +61,15 @@ def phase_space_outliers(values: list[np.ndarray], level: np.ndarray, usable: np
 
     The value is the distance from the local background (the nearer of the medians of the
     levels before and after, rows flagged so far left out), so that a lasting change of level
-    is none. The semi-axes are the universal threshold ``sqrt(2 ln n)`` times robust spreads;
-    the value's axis is at most ``spike_ratio`` scales, hence no reading that the exact
-    rule calls a spike can lie inside. ``usable`` rows may serve as background.
+    is none. The semi-axes are the universal threshold ``sqrt(2 ln n)`` times robust spreads, and
+    ``scale`` at least: a feed that hardly moves has no spike within its usual range. A jump
+    out and back weighs in all three axes, twice as much in the second difference. Each round
+    flags more rows or is the last. ``usable`` rows may serve as background.
     """
     n = len(level)
     out = np.zeros(n, bool)
     lam = np.sqrt(2 * np.log(max(n, 3)))
-    for _ in range(cfg.rounds):
+    while True:
         base = usable & ~out
         before, after = _side_medians(level[base], cfg.side)
         at = np.cumsum(base) - base  # usable rows before each row
@@ -78,8 +78,7 @@ def phase_space_outliers(values: list[np.ndarray], level: np.ndarray, usable: np
             u = _nearer(x, before[at], after[at + base])
             d1 = np.diff(u, prepend=np.nan)
             d2 = np.append(d1[1:], np.nan) - d1
-            axes = [lam * _spread(v[base], scale * 1e-3) for v in (u, d1, d2)]
-            axes[0] = min(axes[0], cfg.spike_ratio * scale)
+            axes = [max(scale, lam * _spread(v[base], 0.0)) for v in (u, d1, d2)]
             with np.errstate(invalid="ignore"):
                 r = sum(np.nan_to_num((v / w) ** 2) for v, w in zip((u, d1, d2), axes))
                 found |= r > 1
@@ -88,21 +87,21 @@ def phase_space_outliers(values: list[np.ndarray], level: np.ndarray, usable: np
         if not (strict & ~out).any():
             return found | out
         out |= strict
-    return found | out
 
 
 def exact_spikes(values: list[np.ndarray], level: np.ndarray, candidates: np.ndarray, case: np.ndarray, spare: np.ndarray, scale: float, cfg: FaultConfig) -> np.ndarray:
     """Candidates farther than ``spike_ratio`` scales from the level just before and just after.
 
     Levels are those of the nearest rows that are no cases themselves, so the set is the
-    fixpoint that starts with every candidate taken for a case. Where a side of the chunk holds
+    fixpoint that starts with every candidate taken for a case. Should the rounds come back to a
+    set seen before, rows that are none in either are given up for good, so that it ends. Where a side of the chunk holds
     no such row, the nearest ``spare`` one (stuck, but at a real level) stands in; with no
     level on a side there is no spike.
     """
     n = len(level)
     pos = np.arange(n)
-    spikes = candidates.copy()
-    for _ in range(cfg.rounds):
+    spikes, seen = candidates.copy(), set()
+    while True:
         sound = ~(case | spikes | np.isnan(level))
         levels = []
         for forward in (True, False):
@@ -124,9 +123,12 @@ def exact_spikes(values: list[np.ndarray], level: np.ndarray, candidates: np.nda
                 far |= (np.abs(x - levels[0]) > cfg.spike_ratio * scale) & (np.abs(x - levels[1]) > cfg.spike_ratio * scale)
         now = candidates & far
         if (now == spikes).all():
-            break
+            return spikes
+        if now.tobytes() in seen:
+            now &= spikes
+            candidates = now
+        seen.add(now.tobytes())
         spikes = now
-    return spikes
 
 
 def stuck_runs(stamp: np.ndarray, value: np.ndarray, known: np.ndarray, least: int) -> np.ndarray:

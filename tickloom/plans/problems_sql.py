@@ -1,4 +1,4 @@
-"""SQL (DuckDB dialect) the problem queries are checked with. Problem 3 has none: its fixpoint is tested by brute force."""
+"""SQL (DuckDB dialect) the problem queries are checked with."""
 
 _GRID = """
 WITH bars AS (
@@ -99,3 +99,48 @@ SELECT feed_id, CAST(day * 86400 AS BIGINT) AS day_s, n AS n_1d, CAST(n7 AS BIGI
   CAST(s30 AS DOUBLE) AS sum_30d, CAST(s30 AS DOUBLE) / nullif(n30, 0) AS mean_30d
 FROM w WHERE day >= d0"""
 )
+
+def _run(series: str, pick: str) -> str:
+    """Rows of runs of one value over stamps in a row; of several values at one stamp the first or the last by id (``pick``)."""
+    return f"""(
+  SELECT p.tab, p.id FROM p JOIN (
+    SELECT tab, feed, t, v, count(*) OVER (PARTITION BY tab, feed, v, k) AS len
+    FROM (SELECT tab, feed, t, v, row_number() OVER (PARTITION BY tab, feed ORDER BY t) - row_number() OVER (PARTITION BY tab, feed, v ORDER BY t) AS k
+          FROM (SELECT tab, feed, t, {pick}(v, id) AS v FROM p WHERE series = '{series}' GROUP BY ALL))) r USING (tab, feed, t, v)
+  WHERE series = '{series}' AND len >= CASE p.tab WHEN 'candles' THEN 10 ELSE 20 END)"""
+
+
+def _spikes(known: str) -> str:
+    """Candidates far from the levels just before and after, those of rows that are no case by the round before."""
+    w = "PARTITION BY tab, feed ORDER BY t, id ROWS BETWEEN"
+    far = "abs({0} - a) > 12 * scale AND abs({0} - z) > 12 * scale"
+    return f"""(
+  SELECT tab, id FROM (
+    SELECT *, last_value(sound IGNORE NULLS) OVER ({w} UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, first_value(sound IGNORE NULLS) OVER ({w} 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS z
+    FROM (SELECT c.*, CASE WHEN NOT bad AND NOT held AND k.id IS NULL THEN level END AS sound FROM c LEFT JOIN {known} k ON k.tab = c.tab AND k.id = c.id))
+  WHERE near AND scale > 0 AND (({far.format('hi')}) OR ({far.format('lo')})))"""
+
+
+# Candidates are rows far from both local medians; the set that judges itself is unrolled, and does not change in the last round.
+SQL["p3_found"] = f"""WITH r AS (
+  SELECT 'candles' AS tab, feed_id AS feed, candle_id AS id, epoch_us(ts) AS t, CAST(high_px AS DOUBLE) AS hi, CAST(low_px AS DOUBLE) AS lo, CAST(close_px AS DOUBLE) AS level, CAST(high_px - low_px AS DOUBLE) AS width,
+    coalesce(high_px <= 0, FALSE) OR coalesce(low_px <= 0, FALSE) OR coalesce(high_px < open_px, FALSE) OR coalesce(high_px < close_px, FALSE) OR coalesce(high_px < low_px, FALSE)
+      OR coalesce(low_px > open_px, FALSE) OR coalesce(low_px > close_px, FALSE) AS bad FROM candles WHERE ts IS NOT NULL AND feed_id IS NOT NULL
+  UNION ALL
+  SELECT 'quote_groups', feed_id, group_id, ts_ms * 1000, CAST(ask_max AS DOUBLE), CAST(bid_min AS DOUBLE), CAST(bid_min AS DOUBLE) / 2 + CAST(ask_max AS DOUBLE) / 2, CAST(ask_max - bid_min AS DOUBLE),
+    coalesce(bid_min <= 0, FALSE) OR coalesce(ask_max <= 0, FALSE) OR coalesce(ask_max < bid_min, FALSE) FROM quote_groups WHERE ts_ms IS NOT NULL AND feed_id IS NOT NULL),
+p AS MATERIALIZED (
+  SELECT tab, feed, id, t, 'hi' AS series, CAST(hi AS VARCHAR) AS v FROM r WHERE tab = 'candles' AND hi IS NOT NULL
+  UNION ALL SELECT tab, feed, id, t, 'lo', CAST(lo AS VARCHAR) FROM r WHERE tab = 'candles' AND lo IS NOT NULL
+  UNION ALL SELECT tab, feed, id, t, 'pair', CAST(lo AS VARCHAR) || '/' || CAST(hi AS VARCHAR) FROM r WHERE tab = 'quote_groups' AND lo IS NOT NULL AND hi IS NOT NULL),
+stuck AS MATERIALIZED ({" UNION ".join(f"SELECT * FROM {_run(x, y)}" for x in ("hi", "lo", "pair") for y in ("arg_min", "arg_max"))}),
+sc AS (SELECT tab, feed, median(width) AS scale FROM r GROUP BY ALL),
+b AS (
+  SELECT r.*, scale, s.id IS NOT NULL AS held, median(CASE WHEN NOT bad THEN level END) OVER (w ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING) AS ma,
+    median(CASE WHEN NOT bad THEN level END) OVER (w ROWS BETWEEN 1 FOLLOWING AND 15 FOLLOWING) AS mz
+  FROM r LEFT JOIN sc USING (tab, feed) LEFT JOIN stuck s ON s.tab = r.tab AND s.id = r.id WINDOW w AS (PARTITION BY r.tab, r.feed ORDER BY t, r.id)),
+c AS MATERIALIZED (
+  SELECT *, coalesce(greatest(least(abs(hi - coalesce(ma, mz)), abs(hi - coalesce(mz, ma))), least(abs(lo - coalesce(ma, mz)), abs(lo - coalesce(mz, ma)))) > 6 * scale, FALSE) AS near FROM b),
+s0 AS MATERIALIZED (SELECT tab, id FROM c WHERE near),
+""" + ",\n".join(f"s{k} AS MATERIALIZED {_spikes(f's{k - 1}')}" for k in range(1, 7)) + """
+SELECT tab, id AS rec_id FROM s6 UNION SELECT tab, id FROM stuck UNION SELECT tab, id FROM c WHERE bad"""
