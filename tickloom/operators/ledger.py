@@ -11,22 +11,33 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.time import DAY_S, big, floor_div
 from tickloom.operators.clock import month_windows
-from tickloom.operators.intervals import asof_backward, ordered_marks
+from tickloom.operators.intervals import ordered_marks
 
 MONEY = "decimal(28,8)"
 
 
 def interval_sum(rows: DataFrame, points: DataFrame, start: str, end: str, at: str, value: str, out: str) -> DataFrame:
-    """Adds the sum of ``value`` over points with ``start < at <= end``: two as-of lookups of a prefix sum.
+    """Adds the sum of ``value`` over points with ``start < at <= end``: a difference of two running sums.
 
-    ``points`` is a calendar (a row a day or so); the rows are bucketed by week, not joined by range.
+    ``points`` is a calendar, a row a day or so. It becomes one row for each UTC day of its span: the
+    sum before the day, and the day's own few points. Rows are joined to it by equality of the
+    day (a day outside the span counts as the nearest one inside), so nothing but the calendar
+    is ordered, and Catalyst sends it to the rows if its size allows.
     """
-    w = W.orderBy(at).rowsBetween(W.unboundedPreceding, 0)
-    prefix = points.select(F.lit(0).alias("_one"), F.col(at).alias("_at"), F.sum(value).over(w).alias("_sum"))
-    x = rows.withColumn("_one", F.lit(0))
+    p = points.where(F.col(at).isNotNull()).select(floor_div(F.col(at), big(DAY_S)).alias("_day"), F.col(at).cast("bigint").alias("at"), F.col(value).alias("v"))
+    per = p.groupBy("_day").agg(F.sum("v").alias("_sum"), F.collect_list(F.struct("at", "v")).alias("_own"))
+    span = p.agg(F.min("_day").alias("a"), F.max("_day").alias("z"))
+    days = span.where("a is not null").select(F.explode(F.sequence("a", "z")).alias("_day")).join(per, "_day", "left")
+    before = F.coalesce(F.sum("_sum").over(W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    days = days.select("_day", before.alias("_before"), F.coalesce("_own", F.array().cast(per.schema["_own"].dataType)).alias("_own"))
+    first, last = (span.select(c).scalar() for c in "az")
+    x = rows
     for c, name in ((start, "_s0"), (end, "_s1")):
-        x = asof_backward(x, prefix.withColumnRenamed("_sum", name), "_one", c, "_at", [name], 7 * DAY_S)
-    return x.withColumn(out, F.coalesce("_s1", F.lit(0)) - F.coalesce("_s0", F.lit(0))).drop("_one", "_s0", "_s1")
+        day = F.greatest(first, F.least(last, floor_div(F.col(c), big(DAY_S))))
+        x = x.withColumn("_day", F.when(F.col(c).isNotNull(), day)).join(days, "_day", "left")
+        own = F.aggregate(F.filter("_own", lambda q: q["at"] <= F.col(c)), F.lit(0).cast(days.schema["_before"].dataType), lambda acc, q: (acc + q["v"]).cast(days.schema["_before"].dataType))
+        x = x.withColumn(name, F.col("_before") + own).drop("_day", "_before", "_own")
+    return x.withColumn(out, F.coalesce("_s1", F.lit(0)) - F.coalesce("_s0", F.lit(0))).drop("_s0", "_s1")
 
 
 def scenarios(rows: DataFrame, bundles: dict[str, tuple[str, str, str]]) -> DataFrame:

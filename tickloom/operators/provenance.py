@@ -28,9 +28,14 @@ def table_fingerprint(df: DataFrame, columns: list[str], by: list[str] | None =
 def bucket_chain(df: DataFrame, by: list[str], bucket: str, columns: list[str]) -> DataFrame:
     """A chain a reader can verify in parallel: each bucket's hash covers its rows and names the bucket before.
 
-    ``(by, bucket, rows, body, previous, link)`` with ``link = sha256(previous body + body)``.
+    ``(by, bucket, rows, body, previous, link)`` with ``link = sha256(previous body + body)``. The body
+    covers the hashes, in order, of the bucket's 4,096 parts by the first three digits of their rows'
+    hashes; each part covers its rows' hashes in order. So no task gathers more of a bucket than a part.
     """
-    h = df.withColumn("_h", row_hash(columns)).groupBy(*by, bucket).agg(F.count("*").alias("rows"), F.sha2(F.concat_ws("", F.array_sort(F.collect_list("_h"))), 256).alias("body"))
+    h = df.withColumn("_h", row_hash(columns)).withColumn("_x", F.substring("_h", 1, 3))
+    part = h.groupBy(*by, bucket, "_x").agg(F.count("*").alias("_n"), F.sha2(F.concat_ws("", F.array_sort(F.collect_list("_h"))), 256).alias("_p"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("_x", "_p"))), lambda x: x["_p"])
+    h = part.groupBy(*by, bucket).agg(F.sum("_n").alias("rows"), F.sha2(F.concat_ws("", parts), 256).alias("body"))
     prev = F.coalesce(F.lag("body").over(W.partitionBy(*by).orderBy(bucket)), F.lit("0" * 64))
     return h.withColumn("previous", prev).withColumn("link", F.sha2(F.concat("previous", "body"), 256))
 

@@ -14,19 +14,42 @@ EPS = float(np.finfo(np.float64).eps)
 THRESHOLDS = (0.3, 0.4, 0.5)
 
 
+def cumulated(rows: DataFrame, by: list[str], value: str, weight: Column | None = None) -> DataFrame:
+    """Each distinct value of a group once: ``_w`` (its rows or weight), ``_c`` (up to and with it), ``_t`` (of the group).
+
+    Values collapse before they are shuffled and are put in order within 64 ranges of the group's
+    span only; the ranges' totals, a row each, carry over. No group is ordered in one task.
+    """
+    per = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"), (F.count("*") if weight is None else F.sum(weight)).alias("_w"))
+    span = per.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_w").alias("_t"))
+    place = (F.col(value) - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo")).cast("double")
+    per = per.join(span, by).withColumn("_k", F.when(F.col("_hi") > F.col("_lo"), F.floor(place * 65_535)).otherwise(0))
+    return with_running(per, by, ["_k", value], F.col("_w"), "_c", 1024).drop("_k", "_lo", "_hi")
+
+
+def step_quantile(value: str, share: float) -> Column:
+    """Of ``cumulated`` rows: the first value at which the running weight reaches its share."""
+    return F.min(F.when(F.col("_c") >= F.col("_t") * share, F.col(value)))
+
+
+def linear_quantile(value: str, share: float) -> Column:
+    """Of ``cumulated`` counts: the percentile between the two rows around its place."""
+    at = (F.max("_t") - 1) * share
+    row = lambda k: F.min(F.when(F.col("_c") > F.least(F.floor((F.col("_t") - 1) * share) + k, F.col("_t") - 1), F.col(value)))
+    return row(0) + (row(1) - row(0)) * (at - F.floor(at))
+
+
 def describe(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Count, mean, population deviation, extremes and exact linear percentiles."""
-    q = lambda p: F.percentile(value, p)
-    return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("low"),
-        q(0.05).alias("q05"), q(0.5).alias("q50"), q(0.95).alias("q95"), F.max(value).alias("high"),
-    )
+    use = rows.where(F.col(value).isNotNull())
+    whole = use.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"))
+    marks = cumulated(use, by, value).groupBy(*by).agg(*[linear_quantile(value, p).alias(f"q{int(p * 100):02d}") for p in (0.05, 0.5, 0.95)])
+    return whole.join(marks, by)
 
 
 def tertiles(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Cutpoints by the inverted CDF (values that occur), a third and two thirds."""
-    e = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})")
-    return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(e("0.3333333333333333").alias("cut1"), e("0.6666666666666666").alias("cut2"))
+    return cumulated(rows, by, value).groupBy(*by).agg(step_quantile(value, 0.3333333333333333).alias("cut1"), step_quantile(value, 0.6666666666666666).alias("cut2"))
 
 
 def banded(rows: DataFrame, cuts: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -115,15 +138,13 @@ def week_sensitivity(rows: DataFrame, by: list[str], *, y: str, a: str, b: str,
 
 def weighted_summary(rows: DataFrame, by: list[str], value: str, weight: str, qs: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
     """Weighted mean, deviation and step quantiles: the first value at which the running weight reaches its share."""
-    per = rows.where(f"{value} is not null and {weight} > 0").groupBy(*by, value).agg(F.sum(weight).alias("_w"), F.count("*").alias("_n"))
-    run = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    per = per.withColumn("_c", F.sum("_w").over(run)).withColumn("_t", F.sum("_w").over(W.partitionBy(*by)))
+    per = cumulated(rows.where(f"{value} is not null and {weight} > 0"), by, value, F.col(weight))
     v, w = F.col(value), F.col("_w")
-    m = F.sum(v * w) / F.sum(w)
-    return per.groupBy(*by).agg(
-        F.sum("_n").alias("n"), F.sum("_w").alias("weight"), m.alias("mean"),
-        F.sqrt(F.greatest(F.sum(v * v * w) / F.sum(w) - m * m, F.lit(0.0))).alias("std"),
-        *[F.min(F.when(F.col("_c") >= F.col("_t") * q, v)).alias(f"q{int(q * 100):02d}") for q in qs],
+    mean = per.groupBy(*by).agg((F.sum(v * w) / F.sum(w)).alias("_m"))
+    off = v - F.col("_m")  # centred before it is squared
+    return per.join(mean, by).groupBy(*by).agg(
+        F.sum("_n").alias("n"), F.sum("_w").alias("weight"), F.max("_m").alias("mean"), F.sqrt(F.sum(off * off * w) / F.sum(w)).alias("std"),
+        *[step_quantile(value, q).alias(f"q{int(q * 100):02d}") for q in qs],
     )
 
 
@@ -131,9 +152,9 @@ def drift(rows: DataFrame, reference: Column, columns: list[str], by: list[str])
     """Each group's columns against the reference rows: shift of the mean in reference deviations, ratio of
     deviations, share outside the reference's 5 to 95 per cent; null where the reference does not vary."""
     long = rows.withColumn("_ref", F.coalesce(reference, F.lit(False))).unpivot([*by, "_ref"], columns, "feature", "value").where("value is not null")
-    ref = long.where("_ref").groupBy("feature").agg(
-        F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.percentile("value", 0.05).alias("a"), F.percentile("value", 0.95).alias("z")
-    )
+    known = long.where("_ref")
+    ref = known.groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    ref = ref.join(cumulated(known, ["feature"], "value").groupBy("feature").agg(linear_quantile("value", 0.05).alias("a"), linear_quantile("value", 0.95).alias("z")), "feature")
     out = long.where("not _ref").join(ref, "feature").groupBy("feature", *by).agg(
         F.count("*").alias("n"), F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"),
         F.avg(((F.col("value") < F.col("a")) | (F.col("value") > F.col("z"))).cast("double")).alias("outside"), F.first("m").alias("m"), F.first("s").alias("s"),

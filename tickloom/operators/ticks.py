@@ -121,11 +121,18 @@ def defect_spans(ticks: DataFrame, minute_ms: int = 60_000) -> DataFrame:
     return h.where(bad & F.col("source_time").isNotNull()).select("feed_id", a.alias("a"), z.alias("z"))
 
 
-def merged_order(streams: list[tuple[DataFrame, str, int, Column]], feed: str = "feed_id") -> DataFrame:
-    """Typed events in one total order: ``(feed, time, phase, ordinal, kind)``, unknown times first."""
+def merged_order(streams: list[tuple[DataFrame, str, int, Column]], feed: str = "feed_id", width: int = 3_600_000) -> DataFrame:
+    """Typed events in one total order: ``(feed, time, phase, ordinal, kind)``, unknown times first.
+
+    Two levels: rows are numbered within buckets of ``width``, and the buckets' counts, one row
+    each, are summed up over the feed.
+    """
     parts = [df.select(feed, t_.alias("time"), F.lit(phase).alias("phase"), F.col("ordinal"), F.lit(kind).alias("kind")) for df, kind, phase, t_ in streams]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    w = W.partitionBy(feed).orderBy(F.asc_nulls_first("time"), "phase", "ordinal")
-    return out.withColumn("place", F.row_number().over(w))
+    out = out.withColumn("_tb", F.coalesce(floor_div(F.col("time"), big(width)), F.lit(-(1 << 62)).cast("bigint"))).repartition(feed, "_tb")
+    before = F.sum("_n").over(W.partitionBy(feed).orderBy("_tb").rowsBetween(W.unboundedPreceding, -1))
+    counts = out.groupBy(feed, "_tb").agg(F.count("*").alias("_n")).select(feed, "_tb", F.coalesce(before, big(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(feed, "_tb").orderBy(F.asc_nulls_first("time"), "phase", "ordinal"))
+    return out.withColumn("_in", inside).join(counts, [feed, "_tb"]).withColumn("place", F.col("_before") + F.col("_in")).drop("_tb", "_in", "_before")

@@ -168,7 +168,7 @@ def week_sensitivity(s, d):
 @query
 def weighted_quantiles(s, d):
     out = S.weighted_summary(table(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity")
-    return out.select("l_returnflag", "n", "weight", rounded("mean", 3), rounded("std", 1), "q05", "q50", "q95")
+    return out.select("l_returnflag", "n", "weight", rounded("mean", 6), rounded("std", 6), "q05", "q50", "q95")
 
 
 @query
@@ -214,15 +214,37 @@ def consistent_gain(s, d):
 # --- provenance ------------------------------------------------------------------------------------
 
 
+def hashed_events(s, d):
+    """All columns in forms that have one text in every engine: stamps in microseconds, values in millionths."""
+    e = table(s, d, "events")
+    return e.select("event_id", micros("ts").alias("ts_us"), "user_id", "event_type", F.floor(F.col("value") * 1e6 + 0.5).cast("bigint").alias("value_u"), "props", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+
+
+HASHED = ["event_id", "ts_us", "user_id", "event_type", "value_u", "props"]
+
+
 @query
 def row_hashes(s, d):
-    return table(s, d, "events").select("event_id", H.row_hash(["event_id", "user_id", "event_type"]).alias("sha"))
+    return hashed_events(s, d).select("event_id", H.row_hash(HASHED).alias("sha"))
 
 
 @query
 def hash_chain(s, d):
-    e = table(s, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return H.bucket_chain(e, ["event_type"], "day", ["event_id", "user_id", "event_type"])
+    return H.bucket_chain(hashed_events(s, d), ["event_type"], "day", HASHED)
+
+
+@query
+def broken_links(s, d):
+    """Links found broken in a chain of which every seventh body was altered."""
+    chain = hash_chain(s, d).withColumn("body", F.when(F.substring("day", 9, 2).cast("int") % 7 == 0, F.sha2("body", 256)).otherwise(F.col("body")))
+    return H.broken_links(chain, ["event_type"], "day").select("event_type", "day")
+
+
+@query
+def table_fingerprint(s, d):
+    """The order-free content hash of each type's rows."""
+    out = H.table_fingerprint(hashed_events(s, d), HASHED, ["event_type"])
+    return out.select("event_type", "rows", F.col("sum_a").cast("string").alias("sum_a"), F.col("sum_b").cast("string").alias("sum_b"))
 
 
 @query

@@ -10,6 +10,11 @@ _SWEEP = f"""{_SPANS}, dl AS (SELECT book_id, t, sum(d) AS d FROM (SELECT book_i
 el AS (SELECT book_id, t, sum(d) OVER w AS n, lead(t) OVER w AS nx FROM dl WINDOW w AS (PARTITION BY book_id ORDER BY t)),
 ar AS (SELECT *, coalesce(sum((nx - t) / greatest(n, 1)) OVER (PARTITION BY book_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS area FROM el)"""
 _FOLD_ROWS = ", ".join(f"({f}, '{p}', {b}, {s})" for f, p, b, s in FOLDS)
+_HASHED = """h AS (SELECT event_id, event_type, strftime(ts, '%Y-%m-%d') AS day,
+  sha256(concat_ws(chr(31), CAST(event_id AS VARCHAR), CAST(epoch_us(ts) AS VARCHAR), CAST(user_id AS VARCHAR), event_type, coalesce(CAST(CAST(floor(value * 1e6 + 0.5) AS BIGINT) AS VARCHAR), chr(0)), coalesce(props, chr(0)))) AS h FROM events)"""
+_CHAIN = """x AS (SELECT event_type, day, h[1:3] AS x, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS part FROM h GROUP BY 1, 2, 3),
+b AS (SELECT event_type, day, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(part, '' ORDER BY x)) AS body FROM x GROUP BY 1, 2),
+p AS (SELECT *, coalesce(lag(body) OVER (PARTITION BY event_type ORDER BY day), repeat('0', 64)) AS previous FROM b)"""
 _LABELED = "lb AS (SELECT * FROM label_dataset WHERE starts IS NOT NULL AND info_ends >= starts)"
 
 
@@ -81,9 +86,9 @@ SELECT side, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(t) AS BIGINT) AS positives
     "chosen_threshold": f"WITH {_grid('q', '[0.1, 0.2, 0.3, 0.4, 0.5]')} SELECT side, threshold, f1 FROM m QUALIFY row_number() OVER (PARTITION BY side ORDER BY f1 DESC, threshold DESC) = 1",
     "reliability": f"WITH {_SCORED} SELECT side, CAST(least(floor(p * 10), 9) AS INT) AS decile, count(*) AS rows, {r('avg(p)', 8)} AS mean_p, {r('avg(CAST(y AS DOUBLE))', 8)} AS share FROM sc GROUP BY 1, 2",
     "weighted_quantiles": f"""WITH v AS (SELECT l_returnflag, l_extendedprice AS x, sum(l_quantity) AS w, count(*) AS n FROM lineitem WHERE l_quantity > 0 GROUP BY 1, 2),
-k AS (SELECT *, sum(w) OVER (PARTITION BY l_returnflag ORDER BY x) AS c, sum(w) OVER (PARTITION BY l_returnflag) AS t FROM v)
-SELECT l_returnflag, CAST(sum(n) AS BIGINT) AS n, sum(w) AS weight, {r("sum(x * w) / sum(w)", 3)} AS mean,
-  {r("sqrt(greatest(sum(x * x * w) / sum(w) - (sum(x * w) / sum(w)) * (sum(x * w) / sum(w)), 0.0))", 1)} AS std,
+k AS (SELECT *, sum(w) OVER (PARTITION BY l_returnflag ORDER BY x) AS c, sum(w) OVER (PARTITION BY l_returnflag) AS t, sum(x * w) OVER (PARTITION BY l_returnflag) / sum(w) OVER (PARTITION BY l_returnflag) AS m FROM v)
+SELECT l_returnflag, CAST(sum(n) AS BIGINT) AS n, sum(w) AS weight, {r("sum(x * w) / sum(w)", 6)} AS mean,
+  {r("sqrt(sum((x - m) * (x - m) * w) / sum(w))", 6)} AS std,
   min(x) FILTER (c >= t * 0.05) AS q05, min(x) FILTER (c >= t * 0.5) AS q50, min(x) FILTER (c >= t * 0.95) AS q95 FROM k GROUP BY 1""",
     "tri_all": """WITH x AS (SELECT user_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value >= 0 END AND user_id % 7 <> 3 AS ok FROM events)
 SELECT user_id, CASE WHEN count(*) FILTER (NOT ok) > 0 THEN FALSE WHEN count(*) FILTER (ok IS NULL) > 0 THEN NULL ELSE TRUE END AS all_ok FROM x GROUP BY 1""",
@@ -93,11 +98,12 @@ s AS (SELECT feed_id, count(*) AS n, covar_pop(l, l) AS vl, covar_pop(p, p) AS v
 q AS (SELECT *, vl * vp - lp * lp AS det FROM s WHERE n > 3),
 b AS (SELECT *, (dl * vp - dp * lp) / det AS beta, (dp * vl - dl * lp) / det AS gamma FROM q WHERE det > 0)
 SELECT feed_id, n, {r("beta / sqrt((dd - beta * dl - gamma * dp) / (n - 3) * vp / det)", 3)} AS t FROM b""",
-    "row_hashes": "SELECT event_id, sha256(concat_ws(chr(31), CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR), event_type)) AS sha FROM events",
-    "hash_chain": """WITH h AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, sha256(concat_ws(chr(31), CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR), event_type)) AS h FROM events),
-b AS (SELECT event_type, day, count(*) AS rows, sha256(string_agg(h, '' ORDER BY h)) AS body FROM h GROUP BY 1, 2),
-p AS (SELECT *, coalesce(lag(body) OVER (PARTITION BY event_type ORDER BY day), repeat('0', 64)) AS previous FROM b)
-SELECT *, sha256(previous || body) AS link FROM p""",
+    "row_hashes": f"WITH {_HASHED} SELECT event_id, h AS sha FROM h",
+    "hash_chain": f"WITH {_HASHED}, {_CHAIN} SELECT *, sha256(previous || body) AS link FROM p",
+    "broken_links": f"""WITH {_HASHED}, {_CHAIN}, l AS (SELECT *, sha256(previous || body) AS link FROM p),
+a AS (SELECT * REPLACE (CASE WHEN CAST(day[9:10] AS INT) % 7 = 0 THEN sha256(body) ELSE body END AS body) FROM l)
+SELECT event_type, day FROM (SELECT *, coalesce(lag(body) OVER (PARTITION BY event_type ORDER BY day), repeat('0', 64)) AS was FROM a) WHERE was <> previous OR link <> sha256(previous || body)""",
+    "table_fingerprint": f"""WITH {_HASHED} SELECT event_type, count(*) AS rows, CAST(sum(CAST(('0x' || h[1:15]) AS HUGEINT)) AS VARCHAR) AS sum_a, CAST(sum(CAST(('0x' || h[16:30]) AS HUGEINT)) AS VARCHAR) AS sum_b FROM h GROUP BY 1""",
     "key_faults": """WITH a AS (SELECT trade_id, count(*) AS a FROM trades GROUP BY 1), b AS (SELECT trade_id, count(*) AS b FROM label_dataset WHERE trade_id IS NOT NULL GROUP BY 1),
 j AS (SELECT * FROM a FULL JOIN b USING (trade_id))
 SELECT trade_id, 'repeated_left' AS fault FROM j WHERE a > 1 UNION ALL SELECT trade_id, 'repeated_right' FROM j WHERE b > 1
