@@ -103,3 +103,46 @@ def test_streams_equal_batches(spark, tmp_path):
         p = [x for _, x in inside]
         assert (r.open, r.high, r.low, r.close, r.n) == (p[0], max(p), min(p), p[-1], len(p))
     assert len(got) >= 15  # all bars that the watermark has passed
+
+
+def test_records_with_newlines_stay_whole(spark, tmp_path):
+    (tmp_path / "q.csv").write_bytes(b'timestamp,open,high,low,close\n2025-01-01T00:00:00Z,"1\n",1,1,1\n2025-01-01T00:01:00Z,1,1,1,1')
+    rows = sorted((r.line_no, r.raw) for r in S.read_lines(spark, str(tmp_path)).collect())
+    assert [n for n, _ in rows] == [1, 2, 3] and rows[1][1].count("\n") == 1
+
+
+def test_faulty_binary_records_are_kept_with_a_reason(spark, tmp_path):
+    t = [(5, 2, 1, 1, 1), (4, 2, 1, 1, 1), (5, 1, 2, 1, 1), (6, 2, 0, 1, 1), (7, 2, 1, math.nan, 1), (7, 2, 1, -1, 1), (3_600_000, 2, 1, 1, 1)]
+    assert S.tick_faults(np.array(t, S.TICK_RECORD)).tolist() == ["", "order", "price", "price", "volume", "volume", "range"]
+    b = [(0, 2, 2, 1, 3, 1), (0, 2, 2, 1, 3, 1), (60, 2, 4, 1, 3, 1), (90, 2, 2, 1, 3, 1), (120, 2, 2, 0, 3, 1), (180, 2, 2, 1, 3, math.inf), (86_400, 2, 2, 1, 3, 1)]
+    bars = np.array(b, S.BAR_RECORD)
+    assert S.bar_faults(bars).tolist() == ["", "order", "price", "range", "price", "volume", "range"]
+    (tmp_path / "x.bin").write_bytes(lzma.compress(bars.tobytes()))
+    got = {(r.b, r.reason) for r in S.read_binary_bars(spark, str(tmp_path), F.lit(0)).collect()}
+    assert (0, None) in got and (0, "order") in got and len(got) == 7
+    assert len(S.tick_faults(np.zeros(0, S.TICK_RECORD))) == 0
+
+
+def test_label_exports(spark):
+    rows = [(1, 0, 1, "take_profit", 30, 50.0, None), (1, 10, 1, "take_profit", 40, 60.0, None), (1, 40, -1, "stop_loss", 50, -20.0, "reached"), (1, 50, 1, "timeout", 90, 5.0, None), (1, 60, 1, "censored", 90, None, None)]
+    x = O.label_exports(spark.createDataFrame(rows, "feed_id long, b long, side int, outcome string, end_s long, pnl_pips double, post_status string"))
+    got = {k: sorted((r.b, r.label) for r in v.collect()) for k, v in x.items()}
+    assert got == {"all": [(0, 1), (10, 1), (40, 0), (50, 0)], "hard_negatives": [(40, 0)], "selected": [(10, 1), (50, 0)]}
+
+
+def test_streams_go_on_where_they_ended(spark, tmp_path):
+    from tickloom.streaming.run import drained, file_stream
+
+    df = spark.createDataFrame([(i, 1, i, 1000 + i - 5 * (i == 6)) for i in range(10)], "quote_id long, feed_id long, seq long, source_time long")
+    df.where("quote_id < 5").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: drained(stream_highwater(file_stream(spark, str(tmp_path / "in")), key="feed_id", seq="seq", time_ms="source_time", ident="quote_id"), "hw", f"file://{tmp_path}/at")
+    assert run().count() == 5
+    df.where("quote_id >= 5").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert sorted((r.quote_id, r.late) for r in run().collect()) == [(i, i == 6) for i in range(10)]
+
+
+def test_written_tables_are_released(spark):
+    from tickloom.session import _SCRATCH, release, written
+
+    assert written(spark.range(3), "x").count() == 3
+    assert any("/x-" in p for p in _SCRATCH) and release(spark) >= 1 and not _SCRATCH

@@ -15,14 +15,18 @@ def row_hash(columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
 
 
+def fingerprint_columns(h: str) -> list[Column]:
+    """The aggregates of ``table_fingerprint`` over a column of row hashes."""
+    part = lambda a: F.conv(F.substring(h, a, 15), 16, 10).cast("decimal(38,0)")
+    return [F.count("*").alias("rows"), F.sum(part(1)).alias("sum_a"), F.sum(part(16)).alias("sum_b")]
+
+
 def table_fingerprint(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Order-free content hash: count, and sums of the halves of a 128-bit piece of each row's hash.
 
     Rows may come in any order and partitioning; repeated rows count as often as they occur.
     """
-    h = df.withColumn("_h", row_hash(columns))
-    part = lambda a: F.conv(F.substring("_h", a, 15), 16, 10).cast("decimal(38,0)")
-    return h.groupBy(*(by or [])).agg(F.count("*").alias("rows"), F.sum(part(1)).alias("sum_a"), F.sum(part(16)).alias("sum_b"))
+    return df.withColumn("_h", row_hash(columns)).groupBy(*(by or [])).agg(*fingerprint_columns("_h"))
 
 
 def bucket_chain(df: DataFrame, by: list[str], bucket: str, columns: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -40,17 +42,54 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     d = tempfile.mkdtemp(prefix="tickloom-")
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{d}")
     return f"file://{d}"
 
 
+_SCRATCH: set[str] = set()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that ``release`` deletes."""
+    if not _SCRATCH:
+        atexit.register(_at_exit)
+    path = f"{shared_dir(spark)}/tickloom/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.add(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables written so far; to be called when the results that were made of them have been read or stored."""
+    sc, n = spark.sparkContext, 0
+    for path in sorted(_SCRATCH):
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        n += bool(p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True))
+    _SCRATCH.clear()
+    return n
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None and _SCRATCH:
+            release(spark)
+    except Exception:  # noqa: BLE001 - the session may be gone
+        pass
+    for path in _SCRATCH:
+        if path.startswith("file://"):
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder once and read it back.
 
     Unlike a cache the written table survives the loss of any executor, and what is read
-    from it again is columnar, so later stages prune it.
+    from it again is columnar, so later stages prune it. It is written when the plan is made,
+    that is before the result is asked for, and kept until ``release``, since no one else knows
+    when the plans that read it have run; at the latest it is deleted when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tickloom/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.sources.records import record_ends
+
 #: Schemas of the delivered files (fixed formats).
 CANDLE_CSV = "timestamp timestamp, open decimal(18,8), high decimal(18,8), low decimal(18,8), close decimal(18,8), volume double"
 TICK_CSV = "timestamp_utc timestamp, source_timestamp_est string, bid decimal(18,8), ask decimal(18,8), volume double, source_sequence bigint, flags string"
@@ -27,18 +29,17 @@ def read_candles(spark: SparkSession, path: str, header: bool = True) -> DataFra
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files as ``(line_id, file_name, line_no, raw)`` for ``records.read_candle_lines``.
 
-    Line numbers need the order within a file, so a file is read whole by one task; ids are
-    unique but not dense.
+    A record ends at a newline outside quotes, so one with a newline in a quoted field stays whole.
+    Numbers need the order within a file, so a file is read whole by one task; ids are unique
+    but not dense.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, content in zip(b["path"], b["content"]):
-                text = content.decode("utf-8", "replace")
-                rows = text.split("\n")
-                if rows and rows[-1] == "":
-                    rows.pop()
+                ends = record_ends(np.frombuffer(content, np.uint8)).tolist() if content else []
+                rows = [content[a:z].removesuffix(b"\n").decode("utf-8", "replace") for a, z in zip([0, *ends], ends)]
                 yield pd.DataFrame({"file_name": p, "line_no": np.arange(1, len(rows) + 1), "raw": rows})
 
     out = files.mapInPandas(split, "file_name string, line_no bigint, raw string")
@@ -57,45 +58,70 @@ def est_millis(text: Column) -> Column:
     return F.when(ok, F.unix_millis(at) + F.substring(text, 16, 3).cast("bigint") + 5 * 3_600_000)
 
 
+def binary_records(payload: bytes, layout: np.dtype) -> np.ndarray:
+    """The records of a compressed payload; an empty one has none, one cut within a record is refused."""
+    if not payload:
+        return np.zeros(0, layout)
+    raw = lzma.decompress(payload)
+    whole, rest = divmod(len(raw), layout.itemsize)
+    if rest:
+        raise ValueError(f"{rest} bytes after {whole} whole records")
+    return np.frombuffer(raw, layout)
+
+
 def decode_ticks(payload: bytes) -> np.ndarray:
-    raw = lzma.decompress(payload) if payload else b""
-    if len(raw) % TICK_RECORD.itemsize:
-        raise ValueError("truncated tick record")
-    return np.frombuffer(raw, TICK_RECORD)
+    return binary_records(payload, TICK_RECORD)
 
 
 def decode_bars(payload: bytes) -> np.ndarray:
-    raw = lzma.decompress(payload) if payload else b""
-    if len(raw) % BAR_RECORD.itemsize:
-        raise ValueError("truncated bar record")
-    return np.frombuffer(raw, BAR_RECORD)
+    return binary_records(payload, BAR_RECORD)
 
 
-def read_binary_ticks(spark: SparkSession, path: str, start_ms: Column, scale: int = SCALE) -> DataFrame:
-    """``(path, ts_ms, bid, ask, bid_volume, ask_volume)``; ``start_ms`` derives each file's first instant from ``path``.
+def _first_fault(n: int, checks: dict[str, np.ndarray]) -> np.ndarray:
+    """For each record the first check it fails, or none."""
+    return np.select(list(checks.values()), list(checks), "") if n else np.zeros(0, str)
 
-    Files are decoded where they lie, vectorised; prices become exact decimals in the JVM.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path", start_ms.cast("bigint").alias("start"), "content")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p, s, c in zip(b["path"], b["start"], b["content"]):
-                r = decode_ticks(c)
-                yield pd.DataFrame({"path": p, "ts_ms": r["ms"].astype(np.int64) + s, "bid_i": r["bid"].astype(np.int64), "ask_i": r["ask"].astype(np.int64), "bid_volume": r["bid_volume"].astype(float), "ask_volume": r["ask_volume"].astype(float)})
+def _volume_fault(*volumes: np.ndarray) -> np.ndarray:
+    return np.any([~np.isfinite(v) | (v < 0) for v in volumes], axis=0)
 
-    out = files.mapInPandas(run, "path string, ts_ms bigint, bid_i bigint, ask_i bigint, bid_volume double, ask_volume double")
-    return out.select("path", "ts_ms", *[(F.col(f"{c}_i").cast("decimal(18,0)") / scale).cast("decimal(18,8)").alias(c) for c in ("bid", "ask")], "bid_volume", "ask_volume")
 
+def tick_faults(r: np.ndarray, span_ms: int = 3_600_000) -> np.ndarray:
+    """``range`` (outside the file's span), ``order`` (before the latest so far), ``price`` (not above zero, or crossed), ``volume``."""
+    ms, bid, ask = (r[c].astype(np.int64) for c in ("ms", "bid", "ask"))
+    top = np.maximum.accumulate(ms) if len(r) else ms
+    return _first_fault(len(r), {"range": ms >= span_ms, "order": ms < top, "price": (bid <= 0) | (ask < bid), "volume": _volume_fault(r["ask_volume"], r["bid_volume"])})
 
-def read_binary_bars(spark: SparkSession, path: str, start_s: Column, scale: int = SCALE) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("path", start_s.cast("bigint").alias("start"), "content")
+
+def bar_faults(r: np.ndarray, span_s: int = 86_400) -> np.ndarray:
+    """``range`` (outside the day or off the minute), ``order`` (not after all before), ``price`` (not above zero, or no range), ``volume``."""
+    at, o, c, lo, h = (r[x].astype(np.int64) for x in ("second", "open", "close", "low", "high"))
+    seen = np.concatenate(([-1], np.maximum.accumulate(at)[:-1])) if len(r) else at
+    price = (lo <= 0) | (lo > np.minimum(o, c)) | (np.maximum(o, c) > h)
+    return _first_fault(len(r), {"range": (at >= span_s) | (at % 60 != 0), "order": at <= seen, "price": price, "volume": _volume_fault(r["volume"])})
+
+
+def _read_binary(spark: SparkSession, path: str, start: Column, layout: np.dtype, time: str, prices: tuple[str, ...], volumes: tuple[str, ...], faults, scale: int, out: str) -> DataFrame:
+    """Files are decoded where they lie, vectorised; prices become exact decimals in the JVM. Faulty records are kept, with ``reason``."""
+    files = spark.read.format("binaryFile").load(path).select("path", start.cast("bigint").alias("start"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, s, c in zip(b["path"], b["start"], b["content"]):
-                r = decode_bars(c)
-                yield pd.DataFrame({"path": p, "b": r["second"].astype(np.int64) + s, **{k: r[k].astype(np.int64) for k in ("open", "high", "low", "close")}, "volume": r["volume"].astype(float)})
+                r = binary_records(c, layout)
+                columns = {x: r[x].astype(np.int64) for x in prices} | {x: r[x].astype(float) for x in volumes}
+                yield pd.DataFrame({"path": p, out: r[time].astype(np.int64) + s, **columns, "reason": faults(r)})
+
+    schema = ", ".join([f"path string, {out} bigint", *[f"{x} bigint" for x in prices], *[f"{x} double" for x in volumes], "reason string"])
+    price = [(F.col(x).cast("decimal(18,0)") / scale).cast("decimal(18,8)").alias(x) for x in prices]
+    return files.mapInPandas(run, schema).select("path", out, *price, *volumes, F.nullif("reason", F.lit("")).alias("reason"))
+
 
-    out = files.mapInPandas(run, "path string, b bigint, open bigint, high bigint, low bigint, close bigint, volume double")
-    return out.select("path", "b", *[(F.col(c).cast("decimal(18,0)") / scale).cast("decimal(18,8)").alias(c) for c in ("open", "high", "low", "close")], "volume")
+def read_binary_ticks(spark: SparkSession, path: str, start_ms: Column, scale: int = SCALE) -> DataFrame:
+    """``(path, ts_ms, bid, ask, bid_volume, ask_volume, reason)``; ``start_ms`` derives each file's first instant from ``path``."""
+    return _read_binary(spark, path, start_ms, TICK_RECORD, "ms", ("bid", "ask"), ("bid_volume", "ask_volume"), tick_faults, scale, "ts_ms")
+
+
+def read_binary_bars(spark: SparkSession, path: str, start_s: Column, scale: int = SCALE) -> DataFrame:
+    """``(path, b, open, high, low, close, volume, reason)``; ``start_s`` derives each file's day from ``path``."""
+    return _read_binary(spark, path, start_s, BAR_RECORD, "second", ("open", "high", "low", "close"), ("volume",), bar_faults, scale, "b")

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.session import written
+
 QUOTE, COMMA, CR, NEWLINE = 34, 44, 13, 10
 COLUMNS = ("timestamp", "open", "high", "low", "close", "volume")
 STAMP = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:Z|\+00:00)$"
@@ -71,36 +73,30 @@ def structural_index(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
 
 
 def _strip(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Move bounds past blanks and tabs; as many passes as the longest run of them."""
-    a, b = a.copy(), b.copy()
-    padded = np.append(buf, 0)
-    while True:
-        m = (a < b) & ((padded[a] == 32) | (padded[a] == 9))
-        if not m.any():
-            break
-        a[m] += 1
-    while True:
-        m = (a < b) & ((padded[b - 1] == 32) | (padded[b - 1] == 9))
-        if not m.any():
-            break
-        b[m] -= 1
-    return a, b
-
-
-def _strings(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.StringArray:
+    """Move bounds past blanks and tabs, by the nearest other byte on each side: one pass however long their runs are."""
+    n = len(buf)
+    solid = (buf != 32) & (buf != 9)
+    at = np.arange(n)
+    after = np.append(np.minimum.accumulate(np.where(solid, at, n)[::-1])[::-1], n)  # the first solid byte from each
+    before = np.concatenate(([0], np.maximum.accumulate(np.where(solid, at + 1, 0))))  # one past the last solid byte before each
+    a = np.minimum(after[a], b)
+    return a, np.maximum(before[b], a)
+
+
+def _strings(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.LargeStringArray:
     """The byte ranges as an Arrow string column, gathered at once."""
     size = b - a
     offsets = np.concatenate(([0], np.cumsum(size)))
     data = buf[np.repeat(a - offsets[:-1], size) + np.arange(offsets[-1])]
-    return pa.StringArray.from_buffers(len(a), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+    return pa.LargeStringArray.from_buffers(len(a), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
 
 
-def _stamps(text: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+def _stamps(text: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     """Epoch microseconds, and whether the text is a real UTC date and time of the allowed forms."""
     ok = pc.match_substring_regex(text, STAMP).to_numpy(zero_copy_only=False).astype(bool)
     us = np.zeros(len(text), np.int64)
     if ok.any():
-        body = pc.binary_join_element_wise(pc.utf8_slice_codeunits(text.filter(pa.array(ok)), 0, 19), "")
+        body = pc.utf8_slice_codeunits(text.filter(pa.array(ok)), 0, 19)
         d = np.frombuffer("".join(body.to_pylist()).encode(), np.uint8).reshape(-1, 19).astype(np.int64) - 48
         year = d[:, 0] * 1000 + d[:, 1] * 100 + d[:, 2] * 10 + d[:, 3]
         month, day, hour, minute, sec = (d[:, i] * 10 + d[:, i + 1] for i in (5, 8, 11, 14, 17))
@@ -139,16 +135,16 @@ def parse_lines(raw: pa.Array) -> dict[str, pa.Array]:
 
     # What may be a repeated header: its names, unquoted.
     names = np.zeros(n, bool)
-    lower = np.bincount(of, weights=pc.is_in(values, value_set=pa.array(COLUMNS)).to_numpy(zero_copy_only=False), minlength=n)
+    lower = np.bincount(of, weights=pc.is_in(values, value_set=pa.array(COLUMNS, pa.large_string())).to_numpy(zero_copy_only=False), minlength=n)
     names |= (lower == count) & (count > 0)
     at = np.concatenate(([0], np.cumsum(count)))
     grouped = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
-    head = pc.if_else(pa.array(names), pc.binary_join(grouped, ","), pa.nulls(n, pa.string()))
+    head = pc.if_else(pa.array(names), pc.binary_join(grouped, pa.scalar(",", pa.large_string())), pa.nulls(n, pa.large_string()))
 
-    def field(k: int) -> pa.StringArray:
+    def field(k: int) -> pa.LargeStringArray:
         have = count > k
         pos = np.where(have, at[:-1] + k, 0)
-        return pc.if_else(pa.array(have), values.take(pa.array(pos)), pa.nulls(n, pa.string())) if len(values) else pa.nulls(n, pa.string())
+        return pc.if_else(pa.array(have), values.take(pa.array(pos)), pa.nulls(n, pa.large_string())) if len(values) else pa.nulls(n, pa.large_string())
 
     texts = [field(k) for k in range(len(COLUMNS))]
     us, real = _stamps(pc.fill_null(texts[0], ""))
@@ -161,10 +157,10 @@ def parse_lines(raw: pa.Array) -> dict[str, pa.Array]:
     labels = pa.array([c for c, _ in checks]).take(pa.array(np.nonzero(hit)[1]))
     return {
         "_n": pa.array(count.astype(np.int32)),
-        "_head": head,
+        "_head": head.cast(pa.string()),
         "_bad": pa.ListArray.from_arrays(pa.array(at_bad), labels),
         "_ts": pc.if_else(pa.array(real), pa.array(us), pa.nulls(n, pa.int64())),
-        **{f"_{c}": pc.if_else(pa.array(p), t, pa.nulls(n, pa.string())) for c, t, p in zip(COLUMNS[1:], texts[1:], plain)},
+        **{f"_{c}": pc.if_else(pa.array(p), t, pa.nulls(n, pa.large_string())).cast(pa.string()) for c, t, p in zip(COLUMNS[1:], texts[1:], plain)},
     }
 
 
@@ -196,15 +192,16 @@ def read_candle_lines(
     ignored; a line of a file without line 1, or with a null file name, may have 5 or 6 columns;
     repeated lines are each judged; other columns are not read. An empty table gives no rows.
 
-    Distribution: lines are parsed where they are read, without a shuffle. Only the number of
-    columns of each file's header is joined afterwards (one row a file; a small side is
-    broadcast by its size, a large one is a sort-merge join whose hot files AQE splits).
+    Distribution: lines are parsed where they are read. What a file's header says, one row a
+    file, is read first and written to the shared folder, so that its size is known when the join is
+    planned: while it is small the lines are not shuffled; beyond that it is a sort-merge join whose
+    hot files AQE splits.
     """
     slim = lines.select(F.col(line_id).cast("bigint").alias("_id"), F.col(file_name).alias("_file"), F.col(line_no).cast("bigint").alias("_no"), F.col(raw).alias("_raw"))
     parsed = slim.mapInArrow(_parse, PARSED)
     first = slim.where("_no = 1 and _file is not null").mapInArrow(_parse, PARSED)
     headers = first.groupBy("_file").agg(F.min("_n").alias("_want"), F.min("_head").alias("_names"))
-    j = parsed.join(headers, "_file", "left")
+    j = parsed.join(written(headers, "headers"), "_file", "left")
     price = {c: F.expr(f"try_cast(_{c} as decimal(38,18))") for c in COLUMNS[1:]}
     j = j.withColumns({f"_{c}": e for c, e in price.items()} | {f"_had_{c}": F.col(f"_{c}").isNotNull() for c in COLUMNS[1:]})
     o, h, lo, c = (F.col(f"_{x}") for x in COLUMNS[1:5])

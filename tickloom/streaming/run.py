@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.session import shared_dir
+from tickloom.session import scratch
 
 
 def file_stream(spark: SparkSession, path: str, most_files: int | None = None) -> DataFrame:
@@ -17,13 +15,15 @@ def file_stream(spark: SparkSession, path: str, most_files: int | None = None) -
     return r.parquet(path[:-1] + "[" + path[-1] + "]")  # a pattern, since the source takes folders and patterns
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """Everything there is now, through a checkpointed Parquet sink in the shared folder.
+def drained(stream: DataFrame, name: str, at: str | None = None) -> DataFrame:
+    """Everything there is now, through a checkpointed Parquet sink; nothing passes through the driver.
 
-    The sink's log makes restarts exact; nothing passes through the driver.
+    ``at`` is the folder of sink and checkpoint: a later call with the same one goes on from
+    where the last ended, with its state, and gives all rows so far, each once. Without it the
+    run is on its own, in the shared folder.
     """
     spark = stream.sparkSession
-    at = f"{shared_dir(spark)}/tickloom/stream-{name}-{uuid.uuid4().hex}"
+    at = at or scratch(spark, f"stream-{name}")
     q = (
         stream.writeStream.format("parquet")
         .option("path", f"{at}/out")
