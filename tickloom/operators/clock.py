@@ -114,6 +114,16 @@ def month_windows(rows: DataFrame, first: str, last: str) -> DataFrame:
     return rows.select("*", months).select("*", sec(F.col("_m")).alias("month_from"), sec(F.add_months("_m", 1)).alias("month_to")).drop("_m")
 
 
+def period_windows(rows: DataFrame, first: str, last: str, unit: str) -> DataFrame:
+    """The same for weeks (from Monday) or quarters: ``period_from`` and ``period_to``."""
+    step = {"week": F.expr("interval 7 days"), "quarter": F.expr("interval 3 months")}[unit]
+    begin = lambda c: F.date_trunc(unit, F.timestamp_seconds(c)).cast("date")
+    x = rows.select("*", F.explode(F.sequence(begin(F.col(first)), begin(F.col(last) - 1), step)).alias("_p"))
+    until = F.date_add("_p", 7) if unit == "week" else F.add_months("_p", 3)
+    sec = lambda c: F.unix_seconds(c.cast("timestamp"))
+    return x.select("*", sec(F.col("_p")).alias("period_from"), sec(until).alias("period_to")).drop("_p")
+
+
 # --- instants in milliseconds against a calendar of disjoint intervals ---------------------------
 
 

@@ -136,7 +136,8 @@ class AdamNet:
     def __init__(self, hidden: int, seed: int, lr: float = 1e-3, alpha: float = 1e-4, batch: int = 200):
         self.hidden, self.lr, self.alpha, self.batch, self.rng = hidden, lr, alpha, batch, np.random.default_rng(seed)
 
-    def fit(self, X: np.ndarray, y: np.ndarray, w: np.ndarray, updates: int) -> AdamNet:
+    def fit(self, X: np.ndarray, y: np.ndarray, w: np.ndarray, updates: int, after=None) -> AdamNet:
+        """``after`` is called with the net at the end of each pass over the rows."""
         self.mean = np.average(X, axis=0, weights=w)
         scale = np.sqrt(np.average((X - self.mean) ** 2, axis=0, weights=w))
         self.scale = np.where(scale == 0, 1.0, scale)
@@ -166,6 +167,8 @@ class AdamNet:
                     m[k] = 0.9 * m[k] + 0.1 * gr
                     v[k] = 0.999 * v[k] + 0.001 * gr * gr
                     self.p[k] = self.p[k] - self.lr * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * m[k] / (np.sqrt(v[k]) + 1e-8)
+            if after is not None:
+                after(self)
         return self
 
     def predict(self, X: np.ndarray) -> np.ndarray:
@@ -173,6 +176,66 @@ class AdamNet:
         return 1 / (1 + np.exp(-np.clip((r @ self.p[2] + self.p[3]).ravel(), -709, 709)))
 
 
+def _known(rows: DataFrame, population: str, columns: list[str], y: str, w: str, *more: Column) -> DataFrame:
+    """Labelled rows ``(population, _x, _y, _w)`` without nulls; the columns are one array, so that plans stay small however many there are."""
+    x = F.array(*[F.col(c).cast("double") for c in columns]).alias("_x")
+    use = rows.select(F.col(population).cast("string").alias("population"), x, F.col(y).cast("double").alias("_y"), F.col(w).cast("double").alias("_w"), *more)
+    return use.where("population is not null and _w > 0 and _y in (0, 1)").where(~F.exists("_x", lambda v: v.isNull()))
+
+
+def _matrix(t: pa.Table) -> np.ndarray:
+    return t.column("_x").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+
+
+def _bounded(use: DataFrame, sample_rows: int) -> DataFrame:
+    """Whole buckets of 4,096 in hashed order, to about ``sample_rows`` rows a population."""
+    use = use.withColumn("_h", F.pmod(F.xxhash64("_x", "_y"), F.lit(4096)))
+    sizes = use.groupBy("population", "_h").agg(F.count("*").alias("_c"))
+    run_c = F.sum("_c").over(W.partitionBy("population").orderBy("_h").rowsBetween(W.unboundedPreceding, 0))
+    sizes = sizes.withColumn("_r", run_c).where(f"_r <= {sample_rows} or _r = _c").select("population", "_h")
+    return use.join(sizes, ["population", "_h"]).drop("_h")
+
+
+def _weighted_loss(y: np.ndarray, p: np.ndarray, w: np.ndarray) -> float:
+    p = np.clip(p, 1e-15, 1 - 1e-15)
+    return float(np.average(-(y * np.log(p) + (1 - y) * np.log1p(-p)), weights=w))
+
+
+def fit_ensembles(rows: DataFrame, population: str, order: str, columns: list[str], y: str, w: str, *, seeds: list[int], epochs: int = 8, hidden: int = 16, sample_rows: int = 200_000) -> DataFrame:
+    """Per population: how many passes over the rows to train for, and the mean of networks of several seeds.
+
+    The last fifth of the rows in order is held out; the number of passes with the least mean loss
+    there, over the seeds, is chosen, and each seed is fitted anew to all rows for so many. A population
+    whose first four fifths or whose last lack a class is given the ``reason`` and no fit. Training rows
+    are bounded as in ``fit_networks``.
+    """
+    use = _known(rows, population, columns, y, w, F.col(order).alias("_o"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_o")
+        X = _matrix(t)
+        yv, wv, n = t.column("_y").to_numpy(), t.column("_w").to_numpy(), t.num_rows
+        cut, best, inner, loss, reason = n - n // 5, None, None, None, None
+        if len(set(yv[:cut])) < 2 or len(set(yv[cut:])) < 2:
+            reason = "class_missing"
+        else:
+            tried = np.zeros((len(seeds), epochs))
+            for i, seed in enumerate(seeds):
+                seen: list[float] = []
+                passes = -(-cut // AdamNet(hidden, seed).batch)
+                AdamNet(hidden, seed).fit(X[:cut], yv[:cut], wv[:cut], epochs * passes, lambda net: seen.append(_weighted_loss(yv[cut:], net.predict(X[cut:]), wv[cut:])))  # noqa: B023
+                tried[i] = seen
+            best = int(tried.mean(axis=0).argmin()) + 1
+            inner = float(tried.mean(axis=0)[best - 1])
+            whole = best * -(-n // AdamNet(hidden, 0).batch)
+            mean = np.mean([AdamNet(hidden, s).fit(X, yv, wv, whole).predict(X) for s in seeds], axis=0)
+            loss = _weighted_loss(yv, mean, wv)
+        name = t.column("population")[0].as_py()
+        return pa.table({"population": [name], "n": pa.array([n], pa.int64()), "epochs": pa.array([best], pa.int32()), "inner_loss": pa.array([inner], pa.float64()), "loss": pa.array([loss], pa.float64()), "reason": pa.array([reason], pa.string())})
+
+    return _bounded(use, sample_rows).groupBy("population").applyInArrow(run, "population string, n bigint, epochs int, inner_loss double, loss double, reason string")
+
+
 def fit_networks(rows: DataFrame, population: str, columns: list[str], y: str, w: str, *, seeds: list[int], updates: int, hidden: int = 16, sample_rows: int = 200_000) -> DataFrame:
     """One network per (population, seed), each in its own task: ``(population, seed, n, loss, state)``.
 
@@ -181,22 +244,16 @@ def fit_networks(rows: DataFrame, population: str, columns: list[str], y: str, w
     memory is bounded and no population is ordered in one task.
     ``state`` is JSON for ``network_probability``.
     """
-    use = rows.select(F.col(population).cast("string").alias("population"), *[F.col(c).cast("double").alias(c) for c in columns], F.col(y).cast("double").alias("_y"), F.col(w).cast("double").alias("_w")).dropna().where("_w > 0 and _y in (0, 1)")
-    use = use.withColumn("_h", F.pmod(F.xxhash64(*columns, "_y"), F.lit(4096)))
-    sizes = use.groupBy("population", "_h").agg(F.count("*").alias("_c"))
-    run_c = F.sum("_c").over(W.partitionBy("population").orderBy("_h").rowsBetween(W.unboundedPreceding, 0))
-    sizes = sizes.withColumn("_r", run_c).where(f"_r <= {sample_rows} or _r = _c").select("population", "_h")
-    use = use.join(sizes, ["population", "_h"]).drop("_h").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    use = _bounded(_known(rows, population, columns, y, w), sample_rows).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
 
     def run(t: pa.Table) -> pa.Table:
-        X = np.column_stack([t.column(c).to_numpy() for c in columns])
+        X = _matrix(t)
         yv, wv = t.column("_y").to_numpy(), t.column("_w").to_numpy()
         order = np.lexsort((*X.T, yv))  # the same rows in the same order, whatever the shuffle did
         X, yv, wv = X[order], yv[order], wv[order]
         seed = t.column("seed")[0].as_py()
         net = AdamNet(hidden, seed).fit(X, yv, wv, updates)
-        p = np.clip(net.predict(X), 1e-15, 1 - 1e-15)
-        loss = float(np.average(-(yv * np.log(p) + (1 - yv) * np.log1p(-p)), weights=wv))
+        loss = _weighted_loss(yv, net.predict(X), wv)
         state = json.dumps({"mean": net.mean.tolist(), "scale": net.scale.tolist(), "p": [x.tolist() for x in net.p]})
         return pa.table({"population": [t.column("population")[0].as_py()], "seed": pa.array([seed], pa.int32()), "n": pa.array([len(X)], pa.int64()), "loss": [loss], "state": [state]})
 

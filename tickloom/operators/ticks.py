@@ -87,8 +87,8 @@ def tie_groups(ticks: DataFrame) -> DataFrame:
     )
 
 
-def tick_bars(ticks: DataFrame, width_ms: int = 60_000) -> DataFrame:
-    """Tumbling bars of the bid with spread statistics: no empty bars are made up.
+def tick_bars(ticks: DataFrame, width_ms: int = 60_000, price: str = "bid") -> DataFrame:
+    """Tumbling bars of the bid (or the ask) with spread statistics: no empty bars are made up.
 
     Open and close go by (time, sequence); a bar is ``valid`` unless one of its rows is not.
     """
@@ -98,7 +98,7 @@ def tick_bars(ticks: DataFrame, width_ms: int = 60_000) -> DataFrame:
     v = lambda c: F.when(ok, F.col(c))
     spread = F.when(ok, F.col("ask") - F.col("bid"))
     return t.groupBy("feed_id", "bar_ms").agg(
-        F.min_by("bid", at).alias("open"), F.max(v("bid")).alias("high"), F.min(v("bid")).alias("low"), F.max_by("bid", at).alias("close"),
+        F.min_by(price, at).alias("open"), F.max(v(price)).alias("high"), F.min(v(price)).alias("low"), F.max_by(price, at).alias("close"),
         F.count_if(ok).alias("n"), F.min(spread).alias("spread_min"), F.max(spread).alias("spread_max"), F.bool_and(ok).alias("valid"),
     )
 
