@@ -211,3 +211,23 @@ def test_bootstrap_and_networks_have_their_whole_budgets(spark, monkeypatch):
     monkeypatch.setattr(M, "fit_networks", lambda x, by, columns, *a, **k: asked.update(k, columns=columns) or x.selectExpr("month population", "1 seed", "1 n", "1 loss"))
     account.networks(spark, d)
     assert asked["columns"] == account.COLUMNS and asked["updates"] * 200 >= 200_000
+
+
+def test_fits_of_single_columns_equal_fits_one_by_one(spark):
+    X, y, w = fixture(800)
+    df = spark.createDataFrame([(*map(float, x), int(t), float(v)) for x, t, v in zip(X, y, w)], "a double, b double, c double, y int, w double")
+    each = M.fit_each(df, ["a", "b", "c"])
+    z = lambda st: df.select(st.probability().alias("p")).toPandas().p.to_numpy()
+    for c in "ab":
+        # the penalty lies on a scaled column: scales by weighted and plain deviation differ a little
+        assert np.allclose(z(each[c]), z(M.fit_logistic(df, [c])), atol=2e-4)
+
+
+def test_ensembles_choose_epochs_and_give_reasons(spark):
+    X, y, w = fixture(600)
+    rows = [("m", i, *map(float, x), int(t), float(v)) for i, (x, t, v) in enumerate(zip(X, y, w))] + [("n", i, 0.0, 0.0, 0.0, 1, 1.0) for i in range(20)] + [("n", 99, None, 0.0, 0.0, 0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, i long, a double, b double, c double, y int, w double")
+    f = lambda x: {r.population: r for r in M.fit_ensembles(x, "g", "i", ["a", "b", "c"], "y", "w", seeds=[1, 2], epochs=4).collect()}
+    got = f(df)
+    assert 1 <= got["m"].epochs <= 4 and got["m"].loss < 0.7 and got["n"].reason == "class_missing" and got["n"].epochs is None and got["n"].n == 20
+    assert got == f(df.repartition(5))

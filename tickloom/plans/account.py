@@ -113,13 +113,21 @@ def logistic_weighted(s, d):
     return p.groupBy("month").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg(S.clipped_loss(F.col("y").cast("double"), F.col("p"))).alias("log_loss"))
 
 
-@query
-def walk_forward(s, d):
-    """Weights by uniqueness of the information spans of each feed, purged folds, a fit a fold, scores."""
+WALK = [(k, b, b + 40 * 86_400) for k, b in ((1, 1_741_000_000), (2, 1_745_000_000), (3, 1_749_000_000))]
+
+
+def weighted_spans(s, d):
+    """Labelled decisions with their columns and the uniqueness of their information spans within the feed."""
     m = table(s, d, "economic_matrix").where("y in (0, 1) and features is not null and size(features) = 28 and information_end_ms > decision_ms")
     x = m.select("row_id", "feed_id", "y", floor_div(F.col("decision_ms"), big(1000)).alias("a"), floor_div(F.col("information_end_ms"), big(1000)).alias("z"), *[F.col("features")[i].alias(c) for i, c in enumerate(COLUMNS)])
     w = V.uniqueness(x.where("a < z"), "row_id", "feed_id", "a", "z").select("row_id", F.col("weight").alias("w"))
-    return M.walk_forward(x.join(w, "row_id"), [(k, b, b + 40 * 86_400) for k, b in ((1, 1_741_000_000), (2, 1_745_000_000), (3, 1_749_000_000))], COLUMNS, start="a", info_end="z")
+    return x.join(w, "row_id")
+
+
+@query
+def walk_forward(s, d):
+    """Weights by uniqueness of the information spans of each feed, purged folds, a fit a fold, scores."""
+    return M.walk_forward(weighted_spans(s, d), WALK, COLUMNS, start="a", info_end="z")
 
 
 @query
