@@ -76,11 +76,21 @@ def promotion(s, d):
     return gain.join(dd, "book_id")
 
 
+def _tick_rows(s, d):
+    m = table(s, d, "economic_matrix").join(table(s, d, "feeds").select("feed_id", pip_of().alias("pip")), "feed_id")
+    return m.select("row_id", "feed_id", F.col("decision_ms").alias("at_ms"), "side", "pip")
+
+
 @query
 def tick_first_touch(s, d):
-    m = table(s, d, "economic_matrix").join(table(s, d, "feeds").select("feed_id", pip_of().alias("pip")), "feed_id")
-    rows = m.select("row_id", "feed_id", F.col("decision_ms").alias("at_ms"), "side", "pip")
-    return label_ticks(rows, quotes(s, d), horizon_ms=900_000, tp=F.col("pip") * 5, sl=F.col("pip") * 2)
+    """Deadlines after 4,320 open minutes, however many closures lie between; decisions whose deadline is beyond the calendar have no label."""
+    rows = C.advance_ms(_tick_rows(s, d).where("at_ms is not null"), table(s, d, "session_clock"), "at_ms", 259_200_000)
+    return label_ticks(rows, quotes(s, d), deadline=F.col("deadline_ms"), tp=F.col("pip") * 50, sl=F.col("pip") * 20)
+
+
+@query
+def tick_first_touch_short(s, d):
+    return label_ticks(_tick_rows(s, d), quotes(s, d), deadline=F.col("at_ms") + 900_000, tp=F.col("pip") * 5, sl=F.col("pip") * 2)
 
 
 # --- models ----------------------------------------------------------------------------------------

@@ -1,6 +1,6 @@
 """SQL (DuckDB dialect) for the queries of ``account``. Iterative fits and random draws have none."""
 
-from tickloom.plans.market_sql import r
+from tickloom.plans.market_sql import _IV, r
 
 _CLOSED = """cl AS (
   SELECT trade_id, book_id, CAST(epoch(entry_time) AS BIGINT) AS a, CAST(epoch(end_time) AS BIGINT) AS z, entry_price, CASE WHEN side = 'long' THEN 1 ELSE -1 END * (exit_price - entry_price) AS move
@@ -37,19 +37,22 @@ SELECT book_id, CAST(epoch(mm) AS BIGINT) AS month_s, CAST(sum(least(z, CAST(epo
     "promotion": f"""WITH {_FLOWS}, {_REPORT}, {_MARKS}, g AS (SELECT book_id, bool_and(realized + commission > 0) AS every_month FROM pr WHERE scenario = 'S1' GROUP BY 1)
 SELECT g.book_id, every_month, drawdown <= 500 AND NOT low < 0 AS contained FROM g JOIN mk ON mk.book_id = g.book_id AND mk.scenario = 'S2'""",
     "weighted_prior": f"WITH {_M} SELECT month, count(*) AS n, sum(w) AS weight, {r('sum(w * y) / sum(w)', 9)} AS prior FROM m GROUP BY 1",
-    "tick_first_touch": """
-WITH q AS (
+}
+
+def _touch(start: str, deadline: str, tp: int, sl: int) -> str:
+    return f"""{start} q AS (
   SELECT feed_id, quote_id, source_time AS t, bid, ask, NOT coalesce(is_valid, FALSE) OR coalesce(ambiguous, FALSE) OR bid IS NULL OR ask IS NULL AS bad
   FROM quotes WHERE feed_id IS NOT NULL AND seq IS NOT NULL AND source_time IS NOT NULL),
 good AS (SELECT * FROM q WHERE NOT bad), hz AS (SELECT * FROM q WHERE bad),
-d AS (
-  SELECT row_id, m.feed_id, decision_ms AS at_ms, side, decision_ms + 900000 AS dl, CASE WHEN f.symbol LIKE '%JPY' THEN 0.01 ELSE 0.0001 END::DECIMAL(18,8) AS pip
+d0 AS (
+  SELECT row_id, m.feed_id, decision_ms AS at_ms, side, {deadline} AS dl, CASE WHEN f.symbol LIKE '%JPY' THEN 0.01 ELSE 0.0001 END::DECIMAL(18,8) AS pip
   FROM economic_matrix m JOIN feeds f USING (feed_id) WHERE decision_ms IS NOT NULL AND side IN (-1, 1)),
+d AS (SELECT * FROM d0 WHERE dl IS NOT NULL),
 e AS (
   SELECT d.*, g.t AS et, CASE WHEN side = 1 THEN g.ask ELSE g.bid END AS fill,
     (SELECT min(t) FROM hz WHERE hz.feed_id = d.feed_id AND hz.t >= d.at_ms) AS bad0
   FROM d LEFT JOIN good g ON g.quote_id = (SELECT arg_min(x.quote_id, (x.t, x.quote_id)) FROM good x WHERE x.feed_id = d.feed_id AND x.t >= d.at_ms AND x.t < d.at_ms + 30000)),
-n AS (SELECT *, coalesce(bad0 < least(coalesce(et, 9223372036854775807), at_ms + 30000), FALSE) AS entry_bad, fill + side * 5 * pip AS target, fill - side * 2 * pip AS loss,
+n AS (SELECT *, coalesce(bad0 < least(coalesce(et, 9223372036854775807), at_ms + 30000), FALSE) AS entry_bad, fill + side * {tp} * pip AS target, fill - side * {sl} * pip AS loss,
   (SELECT min(t) FROM hz WHERE hz.feed_id = e.feed_id AND hz.t > e.et) AS bad1 FROM e),
 c AS (
   SELECT n.row_id, arg_min(struct_pack(t := x.t, won := side * (CASE WHEN side = 1 THEN x.bid ELSE x.ask END - target) >= 0), (x.t, x.quote_id)) AS hit
@@ -61,5 +64,11 @@ o AS (
     WHEN ct IS NOT NULL AND (bad1 IS NULL OR ct < bad1) THEN CASE WHEN won THEN 'tp' ELSE 'sl' END WHEN bad1 < dl THEN 'censored'
     WHEN tt < dl + 60000 AND (bad1 IS NULL OR bad1 > tt) THEN 'timeout' WHEN bad1 < dl + 60000 THEN 'censored' ELSE 'timeout_unobserved' END AS reason FROM z)
 SELECT row_id, reason, CASE WHEN NOT entry_bad THEN et END AS entry_ms, CASE WHEN reason IN ('tp', 'sl') THEN ct WHEN reason = 'timeout' THEN tt END AS terminal_ms,
-  CASE WHEN NOT entry_bad THEN CAST(CAST(fill AS DECIMAL(28,8)) * 100000000 AS BIGINT) END AS fill_i FROM o""",
-}
+  CASE WHEN NOT entry_bad THEN CAST(CAST(fill AS DECIMAL(28,8)) * 100000000 AS BIGINT) END AS fill_i FROM o"""
+
+
+# Open milliseconds of the decision, and the instant at which 4,320 open minutes more have gone by.
+_ENDS = f"""WITH {_IV}, o AS (SELECT m.*, coalesce(prefix_ms + least(decision_ms, end_ms) - start_ms, 0) + 259200000 AS goal FROM (SELECT * FROM economic_matrix WHERE decision_ms IS NOT NULL) m ASOF LEFT JOIN iv ON m.decision_ms >= iv.start_ms),
+ends AS (SELECT o.*, (SELECT max(start_ms + goal - prefix_ms) FROM iv WHERE prefix_ms < goal AND goal <= prefix_ms + end_ms - start_ms) AS dl_ms FROM o),"""
+SQL["tick_first_touch"] = _touch(_ENDS, "m.dl_ms", 50, 20).replace("FROM economic_matrix m JOIN", "FROM ends m JOIN").replace("o AS (\n  SELECT *, CASE WHEN et", "oo AS (\n  SELECT *, CASE WHEN et").replace("END AS fill_i FROM o", "END AS fill_i FROM oo")
+SQL["tick_first_touch_short"] = _touch("WITH", "decision_ms + 900000", 5, 2)
