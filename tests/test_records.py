@@ -6,7 +6,7 @@ from decimal import Decimal
 import numpy as np
 import pytest
 
-from tickloom.sources.records import read_candle_lines, record_ends, structural_index
+from tickloom.sources.records import RESUME, read_candle_lines, record_ends, structural_index
 
 HEAD6, HEAD5 = "timestamp,open,high,low,close,volume", '"timestamp","open","high","low","close"'
 GOOD = "2025-03-07 10:58:00+00:00,1.3,1.5,1.2,1.4,3"
@@ -104,3 +104,10 @@ def test_structural_index_equals_a_scan_by_hand():
 @pytest.mark.parametrize("text,want", [("a\nb\n", [2, 4]), ('a,"x\ny"\nb', [8, 9]), ("", [0]), ("a", [1]), ('"\n', [2]), ('""\n"\n', [3, 5])])
 def test_record_ends(text, want):
     assert list(record_ends(np.frombuffer(text.encode(), np.uint8))) == want
+
+
+def test_open_quotes_swallow_no_record():
+    text = b'timestamp,open\n2025-01-01 00:00:00Z,"1\n2025-01-01 00:01:00Z,1\n"2025-01-01 00:02:00Z","1\n"\n2025-01-01 00:03:00Z,1'
+    ends = record_ends(np.frombuffer(text, np.uint8), RESUME).tolist()
+    rows = [text[a:z] for a, z in zip([0, *ends], ends)]
+    assert [r[:1] for r in rows] == [b"t", b"2", b"2", b'"', b"2"] and rows[3].count(b"\n") == 2

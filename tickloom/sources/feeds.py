@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.sources.records import record_ends
+from tickloom.sources.records import RESUME, record_ends
 
 #: Schemas of the delivered files (fixed formats).
 CANDLE_CSV = "timestamp timestamp, open decimal(18,8), high decimal(18,8), low decimal(18,8), close decimal(18,8), volume double"
@@ -29,7 +29,8 @@ def read_candles(spark: SparkSession, path: str, header: bool = True) -> DataFra
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files as ``(line_id, file_name, line_no, raw)`` for ``records.read_candle_lines``.
 
-    A record ends at a newline outside quotes, so one with a newline in a quoted field stays whole.
+    A record ends at a newline outside quotes, so one with a newline in a quoted field stays whole;
+    a line that begins with a stamp or a header begins a record all the same (``RESUME``).
     Numbers need the order within a file, so a file is read whole by one task; ids are unique
     but not dense.
     """
@@ -38,7 +39,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, content in zip(b["path"], b["content"]):
-                ends = record_ends(np.frombuffer(content, np.uint8)).tolist() if content else []
+                ends = record_ends(np.frombuffer(content, np.uint8), RESUME).tolist() if content else []
                 rows = [content[a:z].removesuffix(b"\n").decode("utf-8", "replace") for a, z in zip([0, *ends], ends)]
                 yield pd.DataFrame({"file_name": p, "line_no": np.arange(1, len(rows) + 1), "raw": rows})
 

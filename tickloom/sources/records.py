@@ -7,6 +7,7 @@ commas outside. No record is looked at one by one in Python.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +40,21 @@ PARSED = T.StructType(
 )
 
 
-def record_ends(buf: np.ndarray) -> np.ndarray:
-    """Offsets just after each record of a file's bytes: newlines outside quotes, and the end."""
+#: A line that begins like this begins a record, whatever quote was left open before it.
+RESUME = re.compile(rb"\n(?=[ \t]*\"?[ \t]*(?:\d{4}-\d\d-\d\d|timestamp))")
+
+
+def record_ends(buf: np.ndarray, resume: re.Pattern | None = None) -> np.ndarray:
+    """Offsets just after each record of a file's bytes: newlines outside quotes, and the end.
+
+    With ``resume`` a newline it matches ends a record in any case and parity starts anew, so that
+    a quote left open swallows no record that follows.
+    """
     quotes = np.cumsum(buf == QUOTE)
-    ends = np.flatnonzero((buf == NEWLINE) & (quotes % 2 == 0)) + 1
+    lines = np.flatnonzero(buf == NEWLINE)
+    forced = np.array([m.start() for m in resume.finditer(buf.tobytes())] if resume else [], np.int64)
+    base = np.concatenate(([0], quotes[forced]))[np.searchsorted(forced, lines)]  # quotes before the stretch that a newline lies in
+    ends = lines[((quotes[lines] - base) % 2 == 0) | np.isin(lines, forced)] + 1
     return ends if len(ends) and ends[-1] == len(buf) else np.append(ends, len(buf))
 
 
