@@ -32,6 +32,7 @@ def bars(s: SparkSession, d: str) -> DataFrame:
 
 
 def m1(s: SparkSession, d: str) -> DataFrame:
+    """Bars of one minute: the session operators count missing open minutes, which only feeds of that step can miss one by one."""
     return bars(s, d).where("step = 60")
 
 
@@ -175,10 +176,10 @@ def features_past(s, d):
 
 @query
 def features_oriented(s, d):
+    """Means of all 28 features of both sides."""
     f = X.oriented(X.past_features(bars(s, d)).where("valid"))
-    return f.groupBy("feed_id", "side").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("ret_60", "body", "vol_60", "direction")]).select(
-        "feed_id", "side", "n", *[rounded(c, 8) for c in ("ret_60", "body", "vol_60", "direction")]
-    )
+    names = [c for c in f.columns if c not in ("feed_id", "b", "valid", "side")]
+    return f.groupBy("feed_id", "side").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in names]).select("feed_id", "side", "n", *[rounded(c, 2 if c.startswith("z_") else 6) for c in names])
 
 
 @query

@@ -131,9 +131,10 @@ _NAMES = [f"{k}_{n}" for n in (5, 15, 60, 240) for k in ("ret", "vol", "range",
 SQL["features_past"] = f"WITH {BARS}, {FEATURES} SELECT feed_id, b, valid, " + ", ".join(
     f"{r(c, 2 if c.startswith('z_') else 6)} AS {c}" for c in _NAMES
 ) + " FROM feat"
+_TURNED = [c for c in _NAMES if c.startswith(("ret_", "z_")) or c == "body"]
 SQL["features_oriented"] = f"""WITH {BARS}, {FEATURES}, sides AS (SELECT * FROM feat, (VALUES (1), (-1)) v(side) WHERE valid)
-SELECT feed_id, side, count(*) AS n, {r("avg(ret_60 * side)", 8)} AS ret_60, {r("avg(body * side)", 8)} AS body, {r("avg(vol_60)", 8)} AS vol_60,
-  {r("avg(CAST(side AS DOUBLE))", 8)} AS direction FROM sides GROUP BY feed_id, side"""
+SELECT feed_id, side, count(*) AS n, {", ".join(f"{r(f'avg({c} * side)' if c in _TURNED else f'avg({c})', 2 if c.startswith('z_') else 6)} AS {c}" for c in _NAMES)},
+  {r("avg(CAST(side AS DOUBLE))", 6)} AS direction FROM sides GROUP BY feed_id, side"""
 
 
 def _fraction(d: float, tol: float) -> list[float]:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.plans import market
 from tickloom.plans.market import Query
 from tickloom.plans.market_sql import SQL as _BATCH
 from tickloom.streaming.run import drained, file_stream
+from tickloom.session import scratch, written
 from tickloom.streaming.twins import stream_bars as bars_of
+from tickloom.streaming.twins import stream_cusum as cusum_of
 from tickloom.streaming.twins import stream_highwater
 
 QUERIES: dict[str, Query] = {}
@@ -33,10 +36,27 @@ def stream_late_flags(s, d):
     return out.select("quote_id", "available_ms", "late")
 
 
+@query
+def stream_cusum(s, d):
+    """CUSUM events of clean bars that arrive file after file, in order of time: sums go on from one batch to the next."""
+    at, b = scratch(s, "arriving"), market.bars(s, d).select("feed_id", "step", "b", F.col("close").cast("double").alias("close"))
+    b = written(b, "bars")
+    for lo, hi in ((None, 1_740_000_000), (1_740_000_000, 1_747_000_000), (1_747_000_000, None)):
+        part = b.where((F.lit(True) if lo is None else F.col("b") >= lo) & (F.lit(True) if hi is None else F.col("b") < hi))
+        part.coalesce(1).write.mode("append").parquet(at)
+    out = None
+    for step in (60, 300, 900, 3600, 14_400):
+        x = file_stream(s, at, 1).where(F.col("step") == step)
+        one = drained(cusum_of(x, key="feed_id", time="b", close="close", step_s=step, h=0.002), "cusum")
+        out = one if out is None else out.unionByName(one)
+    return out.where("event").select("feed_id", "b")
+
+
 SQL: dict[str, str] = {
     "stream_bars": """
 WITH e AS (SELECT event_id, ts, event_type, value, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS b FROM events)
 SELECT event_type, b, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n
 FROM e GROUP BY 1, 2 HAVING b + 3600 <= (SELECT max(epoch(ts)) FROM events) - 7200""",
     "stream_late_flags": _BATCH["late_flags"],
+    "stream_cusum": f"SELECT feed_id, b FROM ({_BATCH['cusum_events']}) WHERE event",
 }
