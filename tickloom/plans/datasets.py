@@ -234,6 +234,14 @@ def horizon_mask(s, d):
     return x.groupBy("side").agg(F.count("*").alias("rows"), F.count_if(F.col("info_ends") - F.col("starts") <= 14_400).alias("within"))
 
 
+@query
+def warm_start(s, d):
+    """Momentum sides of bars from a boundary on, computed from the last 62 bars before it and no others."""
+    b = bars(s, d)
+    history = X.export_history(b.where("b < 1745000000"), 62)
+    return X.from_history(history, b.where("b >= 1745000000"), X.momentum_side)
+
+
 @query
 def common_support(s, d):
     """Bars on which differences of the orders 1/4, 1/2 and 3/4 are all known, by feed and month, against each alone."""

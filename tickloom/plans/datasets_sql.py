@@ -108,6 +108,7 @@ SELECT fold, partition, side, band, count(*) AS n, count(*) FILTER (y = 1) AS po
 GROUP BY GROUPING SETS ((fold, partition, side, band), (fold, partition, band), (fold, partition))""",
     "observed_boundary_long": f"WITH {BARS} SELECT feed_id, b AS buffer_from FROM bars WHERE b < 1745000000 QUALIFY row_number() OVER (PARTITION BY feed_id ORDER BY b DESC) = 1941",
     "horizon_mask": f"WITH {_LABELED} SELECT side, count(*) AS rows, count(*) FILTER (info_ends - starts <= 14400) AS within FROM lb GROUP BY 1",
+    "warm_start": f"SELECT * FROM ({_MARKET['momentum_side']}) WHERE b >= 1745000000",
     "common_support": f"""WITH {BARS}, v AS (SELECT feed_id, b, {_valid(0.25)} AS q, {_valid(0.5)} AS h, {_valid(0.75)} AS t FROM bars WINDOW w AS (PARTITION BY feed_id ORDER BY b))
 SELECT feed_id, strftime(make_timestamp(b * 1000000), '%Y-%m') AS month, count(*) AS bars, count(*) FILTER (q) AS quarter, count(*) FILTER (h) AS half, count(*) FILTER (t) AS three_quarters, count(*) FILTER (q AND h AND t) AS common FROM v GROUP BY 1, 2""",
     "paired_rows": f"""WITH {_DEC} SELECT feed_id, decision_ms, max(row_id) FILTER (side = 1) AS long, max(row_id) FILTER (side = -1) AS short FROM m WHERE side IN (-1, 1) GROUP BY 1, 2

@@ -12,6 +12,7 @@ from tickloom.session import scratch, written
 from tickloom.streaming.twins import stream_bars as bars_of
 from tickloom.streaming.twins import stream_cusum as cusum_of
 from tickloom.streaming.twins import stream_highwater
+from tickloom.streaming.twins import stream_opportunities as opportunities_of
 
 QUERIES: dict[str, Query] = {}
 
@@ -36,15 +37,20 @@ def stream_late_flags(s, d):
     return out.select("quote_id", "available_ms", "late")
 
 
-@query
-def stream_cusum(s, d):
-    """CUSUM events of clean bars that arrive file after file, in order of time: sums go on from one batch to the next."""
+def arriving(s, d) -> str:
+    """Clean bars in three files, one after the other in order of time."""
     at, b = scratch(s, "arriving"), market.bars(s, d).select("feed_id", "step", "b", F.col("close").cast("double").alias("close"))
     b = written(b, "bars")
     for lo, hi in ((None, 1_740_000_000), (1_740_000_000, 1_747_000_000), (1_747_000_000, None)):
         part = b.where((F.lit(True) if lo is None else F.col("b") >= lo) & (F.lit(True) if hi is None else F.col("b") < hi))
         part.coalesce(1).write.mode("append").parquet(at)
-    out = None
+    return at
+
+
+@query
+def stream_cusum(s, d):
+    """CUSUM events of clean bars that arrive file after file, in order of time: sums go on from one batch to the next."""
+    at, out = arriving(s, d), None
     for step in (60, 300, 900, 3600, 14_400):
         x = file_stream(s, at, 1).where(F.col("step") == step)
         one = drained(cusum_of(x, key="feed_id", time="b", close="close", step_s=step, h=0.002), "cusum")
@@ -52,7 +58,18 @@ def stream_cusum(s, d):
     return out.where("event").select("feed_id", "b")
 
 
+@query
+def stream_opportunities(s, d):
+    """Sides and window features of one-minute bars with a state of 242 bars a feed; the batch twins are ``momentum_side`` and ``features_past``."""
+    x = file_stream(s, arriving(s, d), 1).where("step = 60")
+    out = drained(opportunities_of(x, key="feed_id", time="b", close="close", step_s=60), "opportunities")
+    return out.select("feed_id", "b", "side", *[market.rounded(c, 6) for c in out.columns if c[:4] in ("ret_", "vol_")])
+
+
+_WINDOWS = ", ".join(f"{k}_{n}" for n in (5, 15, 60, 240) for k in ("ret", "vol"))
 SQL: dict[str, str] = {
+    "stream_opportunities": f"""WITH f AS ({_BATCH["features_past"]}), m AS ({_BATCH["momentum_side"]})
+SELECT feed_id, b, side, {_WINDOWS} FROM f JOIN m USING (feed_id, b) WHERE feed_id IN (SELECT feed_id FROM feeds WHERE bar_seconds = 60)""",
     "stream_bars": """
 WITH e AS (SELECT event_id, ts, event_type, value, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS b FROM events)
 SELECT event_type, b, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n

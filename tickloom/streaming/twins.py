@@ -53,6 +53,41 @@ def stream_highwater(ticks: DataFrame, *, key: str, seq: str, time_ms: str, iden
     return ticks.select(key, seq, time_ms, ident).groupBy(key).applyInPandasWithState(step, out, "top bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_opportunities(bars: DataFrame, *, key: str, time: str, close: str, step_s: int, lag: int = 60, windows: tuple[int, ...] = (5, 15, 60, 240)) -> DataFrame:
+    """Momentum side and the windows' returns and volatilities of each bar from bars before it, as they come in order.
+
+    ``(key, time, side, ret_w, vol_w)``: the side is null unless the ``lag`` + 1 bars before are contiguous. The
+    state is the last ``max(lag, windows) + 1`` bars, a fixed number whatever the stream's length.
+    """
+    keep = max(lag, *windows) + 2
+    names = [f"{k}_{n}" for n in windows for k in ("ret", "vol")]
+
+    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old_t, old_c = (np.array(x) for x in state.get) if state.exists else (np.zeros(0, np.int64), np.zeros(0))
+        rows = pd.concat(list(batches)).sort_values(time, kind="stable")
+        at = np.concatenate((old_t, rows[time].to_numpy(np.int64)))
+        c = np.concatenate((old_c, rows[close].astype(float).to_numpy()))
+        r = np.diff(np.log(c), prepend=np.log(c[:1]))
+        i = np.arange(len(old_t), len(at))
+        near, far = c[np.maximum(i - 1, 0)], c[np.maximum(i - lag - 1, 0)]
+        whole = (i > lag) & (at[i] - at[np.maximum(i - lag - 1, 0)] == (lag + 1) * step_s)
+        out = {key: k[0], time: at[i], "side": pd.array(np.where(whole, np.sign(near - far), 0), "Int32")}
+        out["side"][~whole] = pd.NA
+        run, sq = np.concatenate(([0.0], np.cumsum(r))), np.concatenate(([0.0], np.cumsum(r * r)))
+        for n in windows:
+            a = np.maximum(i - n, 0)
+            total = run[i] - run[a]
+            out[f"ret_{n}"] = np.where(i == 0, np.nan, total)  # nothing is known before a feed's first bar
+            out[f"vol_{n}"] = np.sqrt(np.maximum((sq[i] - sq[a]) / n - (total / n) ** 2, 0))
+        state.update((at[-keep:].tolist(), c[-keep:].tolist()))
+        yield pd.DataFrame(out)
+
+    schema = f"{key} bigint, {time} bigint, side int, " + ", ".join(f"{n} double" for n in names)
+    return bars.select(key, time, F.col(close).cast("double").alias(close)).groupBy(key).applyInPandasWithState(
+        step, schema, "t array<bigint>, c array<double>", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def stream_cusum(bars: DataFrame, *, key: str, time: str, close: str, step_s: int, h: float) -> DataFrame:
     """``(key, time, event)`` of bars that come in order; the state is the bar before and the two levels ``cusum_scan`` goes on from."""
 
