@@ -262,7 +262,17 @@ def session_labels(s, d):
 @query
 def volatility_labels(s, d):
     """Barriers of 2.5 and 1 times the price volatility known at the entry; others are causally ineligible."""
-    vol = X.ew_volatility(_segmented(s, d)).select("feed_id", "b", "price_volatility", "valid")
+    return _by_volatility(s, d, X.ew_volatility(_segmented(s, d)))
+
+
+@query
+def volatility_labels_hour(s, d):
+    """The same with the volatility of ``ew_volatility_hour``."""
+    return _by_volatility(s, d, X.ew_volatility(_segmented(s, d), lag=60, window=120, span=40, minimum=30))
+
+
+def _by_volatility(s, d, vol):
+    vol = vol.select("feed_id", "b", "price_volatility", "valid")
     rows = _session_rows(s, d).join(vol, ["feed_id", "b"])
     pv = F.col("price_volatility").cast("string").cast("decimal(38,20)")
     tp, sl = (pv * F.lit("2.5").cast("decimal(2,1)")).cast("decimal(18,8)"), pv.cast("decimal(18,8)")

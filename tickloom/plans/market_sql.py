@@ -250,6 +250,27 @@ SQL["session_labels"] = (
 )
 SQL["session_labels"] = SQL["session_labels"].replace("c.* EXCLUDE (rank, rm)", "c.*").replace("SELECT e.*, CASE WHEN at_end", "SELECT e.*, CASE WHEN at_end")
 
+_VOL_ENTRIES = (
+    _ENTRIES.replace("side * 50 * pip_i", "side * tp_i").replace("side * 20 * pip_i", "side * sl_i").replace("(VALUES (1), (-1)) v(side))", "(VALUES (1), (-1)) v(side) WHERE ok)")
+)
+
+
+def _volatility_labels(ew: str) -> str:
+    sigma = ew.replace(f"{r('sigma', 7)} AS sigma", "sigma AS sigma")
+    return (
+        f"""WITH {BARS}, {CLOCK}, {M1}, ew AS ({sigma}),
+pv AS (SELECT feed_id, b, valid, sigma * CAST(lag(c.close) OVER (PARTITION BY feed_id ORDER BY b) AS DOUBLE) AS pv, open FROM ew JOIN inside c USING (feed_id, b)),
+di AS (SELECT feed_id, b, CAST(floor(pv * 2.5e8 + 0.5) AS BIGINT) AS tp_i, CAST(floor(pv * 1e8 + 0.5) AS BIGINT) AS sl_i, valid, open FROM pv),
+bounds AS (SELECT c.*, censor_s AS censor, r2.rm + 60 AS deadline, tp_i, sl_i, coalesce(valid AND CAST(CAST(c.open AS DECIMAL(28,8)) * 100000000 AS BIGINT) > tp_i AND sl_i > 0, FALSE) AS ok
+  FROM censors c JOIN ranks r2 ON r2.rank = coord + 4319 JOIN di ON di.feed_id = c.feed_id AND di.b = c.b), """
+        + _VOL_ENTRIES.format(src="bounds", timeout="deadline < censor OR (deadline = censor AND deadline = (SELECT max(b) FROM inside i WHERE i.feed_id = hits.feed_id) + 60)")
+        + "SELECT feed_id, side, outcome, count(*) AS n FROM lab GROUP BY 1, 2, 3"
+    )
+
+
+SQL["volatility_labels"] = _volatility_labels(SQL["ew_volatility"])
+SQL["volatility_labels_hour"] = _volatility_labels(SQL["ew_volatility_hour"])
+
 _Q = "q AS (SELECT * FROM quotes WHERE feed_id IS NOT NULL AND seq IS NOT NULL)"
 _HW = f"""{_Q}, seen AS (
   SELECT *, max(source_time) OVER (PARTITION BY feed_id ORDER BY seq, quote_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM q),
