@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions.time import DAY_S, US, big, ceil_seconds, ceil_to, col, floor_div, micros
+from tickloom.session import written
 
 OBSERVED, INTERPOLATED, MISSING = "observed", "interpolated", "missing"
 
@@ -31,6 +32,20 @@ def active_runs(clock: DataFrame, minute: str = "minute_ts", active: str = "acti
     )
 
 
+#: A calendar of more runs is not sent to the sources' days but joined by a shuffle: 200,000 are 5 MB.
+CALENDAR_RUNS = 200_000
+
+
+def sized_calendar(runs: DataFrame) -> DataFrame:
+    """The session's runs, about one a day, written once and counted: the side that is sent out in the join, while it is small.
+
+    Left to itself the planner would send the sources' days, of which it only knows how large the
+    sources' file is, and they grow with both.
+    """
+    runs = written(runs, "calendar")
+    return F.broadcast(runs) if runs.count() <= CALENDAR_RUNS else runs.hint("merge")
+
+
 def source_spans(sources: DataFrame, source: str, step: str, first: str, last: str) -> DataFrame:
     """``(_s, _step, _from, _to)``: whole seconds ``b`` of ``first <= b < last`` are ``_from <= b < _to``.
 
@@ -102,7 +117,7 @@ def regular_grid(
     of all rows is spread over as many tasks as it has chunks.
     """
     spans = source_spans(sources, source, step, first, last)
-    grid = expected_bars(spans, active_runs(clock, minute, active))
+    grid = expected_bars(spans, sized_calendar(active_runs(clock, minute, active)))
     halo = max_gap_steps + 1
 
     def chunk(b: Column) -> Column:
