@@ -142,25 +142,24 @@ def best_disjoint(start: np.ndarray, end: np.ndarray, value: np.ndarray) -> list
     instants = np.unique(np.concatenate((start, end)))
     at, to = np.searchsorted(instants, start), np.searchsorted(instants, end)
     order = np.lexsort((np.arange(len(start)), to, at))
-    opens = np.searchsorted(at[order], np.arange(len(instants) + 1))
-    gain, spent = np.zeros(len(instants), np.int64), np.zeros(len(instants), np.int64)
-    pick = np.full(len(instants), -1)
-    for p in range(len(instants) - 2, -1, -1):
-        gain[p], spent[p] = gain[p + 1], spent[p + 1]
-        here = order[opens[p] : opens[p + 1]]
-        if not len(here):
-            continue
-        total, length = value[here] + gain[to[here]], end[here] - start[here] + spent[to[here]]
-        top = np.lexsort((length, -total))[0]
-        if (total[top], -length[top]) > (gain[p], -spent[p]):
-            gain[p], spent[p], pick[p] = total[top], length[top], here[top]
+    opens = np.searchsorted(at[order], np.arange(len(instants) + 1)).tolist()
+    rows, until, worth, lasts = order.tolist(), to[order].tolist(), value[order].tolist(), (end - start)[order].tolist()
+    n = len(instants)
+    gain, spent, pick = [0] * n, [0] * n, [-1] * n
+    for p in range(n - 2, -1, -1):
+        most, least, took = gain[p + 1], spent[p + 1], -1
+        for k in range(opens[p], opens[p + 1]):
+            total, length = worth[k] + gain[until[k]], lasts[k] + spent[until[k]]
+            if total > most or (total == most and length < least):
+                most, least, took = total, length, k
+        gain[p], spent[p], pick[p] = most, least, took
     chosen, p = [], 0
-    while p < len(instants):
+    while p < n:
         if pick[p] < 0:
             p += 1
         else:
-            chosen.append(int(pick[p]))
-            p = to[pick[p]]
+            chosen.append(rows[pick[p]])
+            p = until[pick[p]]
     return chosen
 
 
