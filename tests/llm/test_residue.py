@@ -78,6 +78,38 @@ def test_statements_however_deep_or_long(spark):
     assert {(r.doc_id, r.kind, r.mismatch) for r in find_residue(docs).collect()} == {(1, "error", False), (2, "error", True)}
 
 
+@pytest.mark.parametrize("fill", [0, 150, 250, 2_000])
+def test_pages_on_one_line_whatever_its_length(spark, fill):
+    words = [f"term{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    prose = "".join(f"<p>All of the {w} stand below</p>" for w in words)
+    quiet = "<b class='zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz'></b>" * fill  # 90 characters each: 150 and 250 of them lie on either side of 20,000
+    style = "<style>" + "a { b: c; } " * fill * 8 + "</style>"
+    need = "You need to turn on scripts to see all charts."
+    sorry = "<h2>Sorry, we can't find that page</h2><p>It may have been moved. Go back to the <a href='/'>start page</a>.</p>"
+    texts = {
+        1: (f"<html>{quiet}<div>{sorry}</div></html>", "error"),  # words after the statement
+        2: (f"<html><div>{sorry}</div>{quiet}</html>", "error"),
+        3: (f"<html>{style}<p>Please <b>turn on</b> scripts to go on.</p></html>", "script"),  # a statement with tags inside
+        4: (f"<html><!-- dummy file, only here so that the folder exists -->{quiet}</html>", "filler"),
+        5: (f"<html>{quiet}{prose}<p>{need}</p></html>", "script"),  # in place of the remainder of a long text
+        6: (f"<html>{quiet}<noscript>{need}</noscript></html>", "script"),
+        7: (f"<html><noscript>{need}</noscript>{quiet}<p>All of the tables stand below and work without it</p></html>", None),
+        8: (f"<html>{quiet}{prose}</html>", None),
+        9: (f'{{"message": "<b>Gone</b>", "note": "{quiet}", "status": 410, "code": 410}}', "error"),
+    }
+    docs = [(i, f"o/r{i}", "lib/a.go", t) for i, (t, _) in texts.items()]
+    # unknown responses, alone on a line and at the end of a page on one line
+    docs += [(20 + i, f"o/s{i}", f"lib/f{i}.go", f"<html>{quiet}<p>Wir machen eben Pause</p><p>Wir sind gleich wieder bei Ihnen</p></html>") for i in range(4)]
+    docs += [(30 + i, f"o/t{i}", f"lib/g{i}.go", f"<html>{quiet}<p>own{'abcd'[i] * 3}</p>{prose}<p>Bitte warten Sie noch einen Moment</p></html>") for i in range(4)]
+    got = {r.doc_id: r.kind for r in find_residue(spark.createDataFrame(docs, "doc_id long, repo string, path string, text string")).collect()}
+    assert got == {i: k for i, (_, k) in texts.items() if k} | {k + i: "duplicate" for i in range(4) for k in (20, 30)}
+
+
+def test_blanks_between_tags_take_linear_time():
+    assert verdict("lib/a.go", "<a> " * 10_000 + "Page not found") == "error"
+    assert verdict("lib/a.go", "<a> " * 10_000 + "All of the tables") is None
+
+
 def test_unknown_responses_found_by_all_of_their_text(spark):
     page = "<html>\n<body>\n<h1>Wir machen eben Pause</h1>\n<p>Wir sind gleich wieder bei Ihnen</p>\n</body>\n</html>\n"
     rows = [(i, f"o/r{i}", f"lib/f{i}.py", CODE + page) for i in range(4)]
